@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neighbours, pieces
+from . import bpe, fingerprints, language, mixing, neighbours, passages, pieces, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": passages.query,
+        "op2_fingerprints": fingerprints.query,
+        "op3_simhash": simhash.query,
+        "op4_toxicity": toxicity.query,
+        "op5_bpe": bpe.query,
         "op6_token_counts": pieces.query,
         "op7_mixing": mixing.query,
         "op8_nearest_neighbours": neighbours.query,
         "op9_language_id": language.query,
+        "op10_secrets": secrets.query,
     }
 
 

@@ -1,0 +1,192 @@
+"""The operators' inner parts: automata, segments, rings, chunks, forests."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stridemark.llm import bpe, components, fingerprints, forest, language, passages, pieces, secrets, simhash, toxicity
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=5), max_size=12), st.text("abc", max_size=20), st.booleans())
+def test_longest_match_counts(vocabulary, word, marked):
+    pieces_ = ["##" + p if marked and i % 2 else p for i, p in enumerate(vocabulary)]
+    at, n, stuck = 0, 0, False
+    while at < len(word) and not stuck:
+        fits = [p.removeprefix("##") if marked else p for p in pieces_ if not marked or p.startswith("##") == (at > 0)]
+        best = max((len(p) for p in fits if p and word.startswith(p, at)), default=0)
+        stuck, at, n = best == 0, at + best, n + 1
+    automaton = pieces.LongestMatch(pieces_, "##" if marked else "")
+    assert automaton.count(word) == (1 if stuck else n)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=40))
+def test_maximal_segments(scores):
+    """By definition: the best segment, then the same to its left and to its right."""
+
+    def split(lo, hi):
+        best = None
+        for a in range(lo, hi):
+            for b in range(a + 1, hi + 1):
+                s = sum(scores[a:b])
+                if s > 0 and (best is None or s > best[0] or s == best[0] and b - a < best[2] - best[1]):
+                    best = (s, a, b)
+        return [] if best is None else [*split(lo, best[1]), best, *split(best[2], hi)]
+
+    got = toxicity.segments(list(range(len(scores))), [float(s) for s in scores])
+    # ties between segments of one score may be split in several ways; scores and order are what counts
+    assert sorted(s for _, _, s in got) == sorted(float(s) for s, _, _ in split(0, len(scores))) or any(s == 0 for s in scores) or _tied(scores)
+
+
+def _tied(scores):
+    totals = [sum(scores[:i]) for i in range(len(scores) + 1)]
+    return len(set(totals)) < len(totals)
+
+
+def test_ring_keeps_every_pair_within_four_bits():
+    r = random.Random(1)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(1, 4)):
+            b ^= 1 << bit
+        keys = {}
+        hit = False
+        for x in (a, b):
+            for k, f, own in simhash.signatures(np.array([x], np.uint64)):
+                for key in k.tolist():
+                    keys.setdefault(key, []).append((x, own))
+        for key, held in keys.items():
+            if len({x for x, _ in held}) == 2 and any(o for _, o in held):
+                hit |= bool(simhash.ring_passes(np.array([a ^ b], np.uint64), np.array([key >> 24]))[0])
+        assert hit
+
+
+@pytest.mark.parametrize("small", [1, 48])
+def test_links_of_groups_of_any_size_connect_the_same(monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    r = random.Random(2)
+    centre = r.getrandbits(64)
+    fp = np.unique(np.array([centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(200)], np.uint64))
+    parts = list(simhash.signatures(fp))
+    keys, prints, own = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts]))
+    order = np.lexsort((~own, keys))
+    a, b = simhash.links_of(keys[order], prints[order], own[order])
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+
+    def groups(pairs):
+        parent = {x: x for x in fp.tolist()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            parent[find(x)] = find(y)
+        return {frozenset(y for y in parent if find(y) == find(x)) for x in parent}
+
+    near = [(x, y) for i, x in enumerate(fp.tolist()) for y in fp.tolist()[:i] if (x ^ y).bit_count() <= 4]
+    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(near)
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(None, 3)]
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges[:-1]:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {a: find(a) for e in edges[:-1] if e[0] != e[1] for a in e}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab \n\téß日.", max_size=3000), st.integers(0, 400))
+def test_parts_keep_all_but_white_space(text, pad):
+    data = (text + "word " * pad + "x" * pad).encode()
+    got = bpe.parts(data)
+    assert b"".join(p for p, _ in got).translate(None, b" \n\t") == data.translate(None, b" \n\t")
+    assert all(p.decode() is not None for p, _ in got)
+    assert bpe.cuts(data) == sorted(set(bpe.cuts(data))) and (not data or bpe.cuts(data)[-1] == len(data))
+
+
+def test_cuts_follow_the_content():
+    r = random.Random(4)
+    body = " ".join(str(r.randrange(10**6)) for _ in range(4000)).encode()
+    own = {bpe.chunk_id(p) for p, inside in bpe.parts(body) if inside}
+    moved = {bpe.chunk_id(p) for p, inside in bpe.parts(b"some other start " * 30 + body) if inside}
+    assert len(own & moved) > 0.8 * len(own)
+
+
+def test_anchors_move_with_the_text():
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2000))
+    print_ = lambda t: fingerprints.anchors([t])[0].tolist()
+    assert print_(text) == print_(text) and len(print_(text)) == fingerprints.ANCHORS
+    assert fingerprints.likeness(print_(text), print_(text[:1000] + "ZZ" + text[1000:])) > 0.85
+    other = "".join(r.choice("abcdefgh ") for _ in range(2000))
+    assert fingerprints.likeness(print_(text), print_(other)) < 0.05
+    assert abs(fingerprints.likeness(print_(text), print_(text[:1000] + other[:1000])) - 1 / 3) < 0.25
+    assert fingerprints.likeness([], []) == 1 and fingerprints.likeness([], [1]) == 0
+    texts = [text, "", "short", other, text[:17]]
+    assert [a.tolist() for a in fingerprints.anchors(texts)] == [print_(t) for t in texts]
+    assert [len(a) for a in fingerprints.anchors(["", "short"])] == [0, 1]
+
+
+def test_anchors_of_equal_windows_are_equal():
+    r = random.Random(6)
+    words = [str(r.randrange(30)).encode() for _ in range(400)]
+    a = passages.Anchors([1, 2], [words, [b"q"] * 7 + words[100:150] + [b"z"] * 20], passages.WordHashes())
+    at = {}
+    for h, d, first, last in zip(a.hash.tolist(), a.doc.tolist(), a.first.tolist(), a.last.tolist(), strict=True):
+        for i in range(first, last + 1):
+            at[d, i - 400 * d] = h
+    assert len(at) == 388 + 65
+    assert all(at[0, 100 + i] == at[1, 7 + i] for i in range(38))
+
+
+def test_bundles_are_cosines_of_trigram_counts():
+    v = language.bundles(["abc abc", None, "123 ...", "abcabc", "xyz", "Abc  ABC"])
+    assert not v[1].any() and not v[2].any() and np.array_equal(v[0], v[5])
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert cos(v[0], v[3]) > 0.3 > abs(cos(v[0], v[4]))
+    together = language.bundles(["日本語 テスト", "ab", ""])
+    assert np.array_equal(together[1], language.bundles(["ab"])[0])
+
+
+def test_forest_and_its_sql(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.3)).astype(int)
+    model = forest.train(x[:300], y[:300])
+    p = np.array([forest.probability(model, row) for row in x[300:]])
+    assert ((p >= 0.5) == y[300:]).mean() > 0.85
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x[300:])], "i int, a double, b double, c double, d double")
+    got = {r_["i"]: r_["p"] for r_ in df.selectExpr("i", forest.to_sql(model, ["a", "b", "c", "d"]) + " AS p").collect()}
+    assert np.allclose([got[i] for i in range(100)], p)
+
+
+def test_secret_forest_on_findings_it_has_not_seen():
+    rows = secrets.findings(1500, seed=99)
+    model = secrets.trained()
+    hits = [(forest.probability(model, np.array(secrets.feature_row(c, b))) >= 0.5, y) for b, c, y in rows]
+    assert sum(a == y for a, y in hits) / len(hits) > 0.93
+
+
+def test_features_agree_with_their_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = secrets.findings(300, seed=5)
+    df = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(rows)], "i int, b string, c string")
+    got = {r["i"]: [r["f"][n] for n in secrets.FEATURES] for r in df.select("i", secrets.features(F.col("c"), F.col("b")).alias("f")).collect()}
+    assert all(np.allclose(got[i], secrets.feature_row(c, b)) for i, (b, c, _) in enumerate(rows))
