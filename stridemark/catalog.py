@@ -1,11 +1,175 @@
-"""Queries for the sketching operators, each with its DuckDB SQL."""
+"""Queries for the sketching operators over ``documents``, each with its DuckDB SQL.
+
+A document's sequence is its text in lower case without other letters than acgt.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stridemark import oracle
+from stridemark.functions import dna, sql
+from stridemark.operators import chunks, sketch
+from stridemark.params import Params
+from stridemark.plans import native
+from stridemark.sources import fastx
+from stridemark.streaming import reads
+
+K, S = 31, 15
+FW32, CANON32 = Params(K, S), Params(K, S, canonical=True)
+FW64, CANON64 = Params(K, S, bits=64), Params(K, S, bits=64, canonical=True)
+FW16, CANON16 = Params(K, S, approx16=True), Params(K, S, canonical=True, approx16=True)
+KEY = ["doc_id"]
+
+
+def sequences(spark: SparkSession, sf_dir: str, letters: str = "acgt") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", dna.clean("text", letters).alias("seq"))
+
+
+def long_enough(df: DataFrame, k: int = K) -> DataFrame:
+    """Drops what can't have a k-mer before it goes to Python."""
+    return df.where(F.length("seq") >= k)
+
+
+def _smers(p: Params, *columns: str):
+    return lambda spark, d: sketch.smers(long_enough(sequences(spark, d), p.s), p, KEY).select("doc_id", *columns)
+
+
+def _syncmers(p: Params, *columns: str, letters: str = "acgt"):
+    return lambda spark, d: sketch.syncmers(long_enough(sequences(spark, d, letters), p.k), p, KEY).select("doc_id", *columns)
+
+
+def _native(p: Params, *columns: str):
+    return lambda spark, d: native.syncmers(long_enough(sequences(spark, d), p.k), p, KEY).select("doc_id", *columns)
+
+
+def _count(p: Params):
+    return lambda spark, d: sketch.counts(sequences(spark, d), p, KEY).select("doc_id", F.col("n_syncmers").alias("n"))
+
+
+def _codes(order: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        seqs = sequences(spark, d).where("length(seq) > 0")
+        return seqs.select("doc_id", F.posexplode(dna.codes("seq", order)).alias("pos", "code")).select("doc_id", F.col("pos").cast("long").alias("pos"), "code")
+
+    return run
+
+
+def _revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).select("doc_id", dna.reverse_complement("seq").alias("seq_rc"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).where("length(seq) > 0").select("doc_id", F.hex(dna.pack_2bit("seq")).alias("packed"))
+
+
+def _strands(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.counts(sequences(spark, d), CANON64, KEY).select("doc_id", F.col("n_fw").alias("fw"), F.col("n_rc").alias("rc"))
+
+
+def _difference(spark: SparkSession, d: str) -> DataFrame:
+    seqs = sequences(spark, d)
+    exact = sketch.counts(seqs, FW32, KEY).select("doc_id", F.col("n_syncmers").alias("exact_n"))
+    near = sketch.counts(seqs, FW16, KEY).select("doc_id", F.col("n_syncmers").alias("approx_n"))
+    return exact.join(near, "doc_id").withColumn("diff", F.col("approx_n") - F.col("exact_n"))
+
+
+def _chunked(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.chunked_syncmers(sequences(spark, d), FW32, KEY, size=500).select("doc_id", "pos")
+
+
+def _window_pass(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.syncmers_from_smers(sketch.smers(long_enough(sequences(spark, d)), CANON32, KEY), FW32.w, KEY)
+
+
+def _array(spark: SparkSession, d: str) -> DataFrame:
+    found = sketch.positions(sequences(spark, d), FW64, KEY)
+    at = F.col("positions.pos")
+    return found.select("doc_id", F.size(at).cast("long").alias("n"), F.get(at, F.lit(0)).alias("first"), F.try_element_at(at, F.lit(-1)).alias("last"))
+
+
+def _sql_count(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    return sequences(spark, d).select("doc_id", F.expr(f"syncmer_count(seq, {K}, {S})").alias("n"), F.expr(f"syncmer_count_canonical(seq, {K}, {S})").alias("n_canonical"))
+
+
+def _sql_lateral(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    name = f"sequences_{uuid.uuid4().hex}"
+    long_enough(sequences(spark, d)).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT r.doc_id, t.pos, t.strand FROM {name} r, LATERAL syncmers_canonical(r.seq, {K}, {S}) t")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """All that there is now, as a stream into a table in the shared folder."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet*")
+    found = reads.read_syncmers(stream.select("doc_id", dna.clean("text").alias("seq")), CANON64, KEY)
+    to = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/{uuid.uuid4().hex}"
+    found.select("doc_id", "pos", "strand").writeStream.format("parquet").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start(f"{to}/rows").awaitTermination()
+    return spark.read.schema("doc_id long, pos long, strand int").parquet(f"{to}/rows")
+
+
+MULTIPLY = Params(K, S, canonical=True, hash="multiply")
+ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "encode_2bit_actg": (_codes("actg"), oracle.codes("actg")),
+    "encode_2bit_acgt": (_codes("acgt"), oracle.codes("acgt")),
+    "pack_2bit": (_packed, oracle.packed("actg")),
+    "revcomp": (_revcomp, oracle.REVCOMP),
+    "alphabet_filter_summary": (lambda spark, d: fastx.summary(sequences(spark, d)), oracle.SUMMARY),
+    "length_buckets": (lambda spark, d: fastx.length_buckets(sequences(spark, d), K, 9), oracle.length_buckets(K, 9)),
+    "smers_nt32_fw": (_smers(FW32, "pos", "hash"), oracle.smers(FW32, "pos, hash")),
+    "smers_nt64_fw": (_smers(FW64, "pos", "hash"), oracle.smers(FW64, "pos, hash")),
+    "smers_nt32_canonical": (_smers(CANON32, "pos", "hash", "strand"), oracle.smers(CANON32, "pos, hash, strand")),
+    "smers_nt32_sum_canonical": (_smers(Params(K, S, canonical=True, combine="sum"), "pos", "hash"), oracle.smers(Params(K, S, canonical=True, combine="sum"), "pos, hash")),
+    "window_min_nt32": (lambda spark, d: sketch.window_minima(long_enough(sequences(spark, d)), FW32, KEY), oracle.window_min(FW32)),
+    "syncmer_count_nt32_fw": (_count(FW32), oracle.count(FW32)),
+    "syncmer_count_nt32_canonical": (_count(CANON32), oracle.count(CANON32)),
+    "syncmer_count_approx16_fw": (_count(FW16), oracle.count(FW16)),
+    "syncmer_count_approx16_canonical": (_count(CANON16), oracle.count(CANON16)),
+    "syncmer_low32_of_64": (_count(Params(K, S, bits=64, low32=True)), oracle.count(Params(K, S, bits=64, low32=True))),
+    "syncmer_positions_nt32_fw": (_syncmers(FW32, "pos"), oracle.syncmers(FW32, "pos")),
+    "syncmer_positions_nt32_canonical": (_syncmers(CANON32, "pos", "strand"), oracle.syncmers(CANON32, "pos, strand")),
+    "syncmer_positions_untracked_strand": (
+        lambda spark, d: _syncmers(CANON32, "pos")(spark, d).withColumn("strand", F.lit(0)), oracle.syncmers(CANON32, "pos, 0 AS strand"),
+    ),
+    "syncmer_positions_approx16_fw": (_syncmers(FW16, "pos"), oracle.syncmers(FW16, "pos")),
+    "syncmer_positions_approx16_canonical": (_syncmers(CANON16, "pos", "strand"), oracle.syncmers(CANON16, "pos, strand")),
+    "syncmer_positions_nt64_fw": (_syncmers(FW64, "pos"), oracle.syncmers(FW64, "pos")),
+    "syncmer_positions_nt64_canonical": (_syncmers(CANON64, "pos", "strand"), oracle.syncmers(CANON64, "pos, strand")),
+    "syncmer_positions_wide_window": (_syncmers(Params(200, 31, bits=64, canonical=True), "pos", "strand"), oracle.syncmers(Params(200, 31, bits=64, canonical=True), "pos, strand")),
+    "syncmer_strand_split": (_strands, oracle.strands(CANON64)),
+    "syncmer_detail_nt64": (_syncmers(CANON64, "pos", "smer_pos", "at_start", "hash"), oracle.syncmers(CANON64, "pos, smer_pos, at_start, hash")),
+    "syncmer_right_tie": (_syncmers(Params(K, S, tie="right"), "pos"), oracle.syncmers(Params(K, S, tie="right"), "pos")),
+    "syncmer_multiply_hash": (_syncmers(MULTIPLY, "pos", "strand"), oracle.syncmers(MULTIPLY, "pos, strand")),
+    "syncmer_nt128": (_syncmers(Params(K, S, bits=128, canonical=True), "pos", "strand"), oracle.syncmers(Params(K, S, bits=128, canonical=True), "pos, strand")),
+    "approx_vs_exact_diff": (_difference, oracle.difference(FW32, FW16)),
+    **{
+        f"syncmers_ambiguous_{mode}": (
+            _syncmers(Params(K, S, ambiguous=mode), "pos", letters="acgtn"), oracle.syncmers(Params(K, S, ambiguous=mode), "pos", letters="acgtn"),
+        )
+        for mode in ("skip", "as_a", "as_g", "zero", "compat_rolling")
+    },
+    "syncmers_chunked": (_chunked, oracle.syncmers(FW32, "pos")),
+    "syncmers_window_pass": (_window_pass, oracle.syncmers(CANON32, "pos")),
+    "syncmers_native_nt32_fw": (_native(FW32, "pos"), oracle.syncmers(FW32, "pos")),
+    "syncmers_native_nt64_canonical": (_native(CANON64, "pos", "strand"), oracle.syncmers(CANON64, "pos, strand")),
+    "syncmer_positions_array": (_array, oracle.array(FW64)),
+    "syncmer_count_sql": (_sql_count, oracle.counts_of_both(FW16, CANON16)),
+    "syncmers_sql_lateral": (_sql_lateral, oracle.syncmers(CANON64, "pos, strand")),
+    "syncmers_stream": (_stream, oracle.syncmers(CANON64, "pos, strand")),
+}
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in ENTRIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in ENTRIES.items()}
