@@ -25,17 +25,13 @@ def codes(seq: str | Column, order: str = "actg") -> Column:
 
 def pack_2bit(seq: str | Column, order: str = "actg") -> Column:
     """Four codes a byte, the first in the lowest bits; the last byte is filled with code 0."""
-    a = codes(seq, order)
-    n = F.size(a)
-    digit = lambda i: F.coalesce(F.get(a, i), F.lit(0))
-    byte = lambda j: digit(4 * j) + 4 * digit(4 * j + 1) + 16 * digit(4 * j + 2) + 64 * digit(4 * j + 3)
-    hexed = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda j: F.lpad(F.hex(byte(j)), 2, "0"))
-    return F.when(F.length(seq) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(hexed, "")))
+    plain = F.regexp_replace(F.translate(F.lower(seq), "u", "t"), "[^acgt]", order[0])
+    fours = F.filter(F.split(F.translate(plain, order, "0123"), r"(?<=\G.{4})"), lambda x: x != "")
+    return F.unhex(F.array_join(F.transform(fours, lambda x: F.lpad(F.conv(F.reverse(F.rpad(x, 4, "0")), 4, 16), 2, "0")), ""))
 
 
 def rotl(x: Column, r: Column, bits: int) -> Column:
     """x rotated left by r of 0 to bits - 1; 32-bit values are longs from 0 to 2^32 - 1."""
-    x, r = F.expr("x") if x is None else x, r
     left = F.call_function("shiftleft", x, r)
     right = F.call_function("shiftrightunsigned", x, (F.lit(bits) - r).cast("int"))
     turned = left.bitwiseOR(right)

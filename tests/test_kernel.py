@@ -33,7 +33,7 @@ def test_skips_kmers_with_other_letters(seq, canonical):
 
 @pytest.mark.parametrize("s", [1, 32, 33, 65])
 def test_rotations_by_whole_words(s):
-    seq = "".join(random.Random(s).choice("acgt") for _ in range(200))
+    seq = "".join(random.Random(s).choices("acgt", k=200))
     for bits in (32, 64):
         a = kernel.smers([seq.encode()], Params(s + 5, s, bits=bits, canonical=True))
         assert list(zip(a.hash.tolist(), a.strand.tolist(), strict=True)) == hashes(seq, s, bits, True)
@@ -120,14 +120,14 @@ def test_multiplied_hash():
 
 
 def test_wide_hashes_sort_by_their_upper_half():
-    seq = "".join(random.Random(9).choice("acgt") for _ in range(500))
+    seq = "".join(random.Random(9).choices("acgt", k=500))
     a = kernel.smers([seq.encode()], Params(31, 15, bits=128))
     wide = [(int(x) << 64) | int(y) for x, y in zip(a.high, a.hash, strict=True)]
     assert np.argsort(a.rank, kind="stable").tolist() == sorted(range(len(wide)), key=lambda i: (wide[i], i))
 
 
 def test_density_is_about_two_of_a_window():
-    seq = "".join(random.Random(10).choice("acgt") for _ in range(100_000))
+    seq = "".join(random.Random(10).choices("acgt", k=100_000))
     assert abs(len(found(seq, Params(31, 15))) / 100_000 - 2 / 17) < 0.004
 
 
