@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import marshal
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -160,55 +162,77 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
 
 
 def cover(segments: list[tuple[int, int, bytes, list[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
-    """(block, document, from, to): words to remove, from one shard's segments.
+    """(block, document, from, to): words to remove, from one shard's segments, sorted by anchor.
 
     Segments are (anchor, block, text, occurrences (id, document, first word)). Confirms which
-    windows occur in two documents or more, compiles these into an automaton whose letters are
-    words, with the smallest id that holds each, and streams all segments through it.
+    passages occur in two documents or more: all of a text that is its anchor's only one, else
+    the single windows that do. Compiles these into an automaton whose letters are words, with
+    the smallest id that holds each, and streams every distinct text through it.
     """
     letters: dict[bytes, str] = {}
-    lines, low, high = [], {}, {}
-    for _, _, text, found in segments:
+    automaton = ahocorasick.Automaton()
+    lines: list[tuple[str, list[tuple[int, list]]]] = []
+
+    def line_of(text: bytes) -> str:
         words = text.split(b" ")
         for w in words:
             if w not in letters:
                 letters[w] = chr(len(letters) + 1)
-        line = "".join([letters[w] for w in words])
-        ids = [f[0] for f in found]
-        a, b = min(ids), max(ids)
-        lines.append(line)
-        for j in range(len(line) - WINDOW + 1):
-            w = line[j : j + WINDOW]
-            if (x := low.get(w)) is None:
-                low[w], high[w] = a, b
+        return "".join([letters[w] for w in words])
+
+    for _, group in groupby(segments, itemgetter(0)):
+        texts: dict[bytes, list] = {}  # smallest and largest id, holders
+        for _, block, text, found in group:
+            a, b = min(found)[0], max(found)[0]
+            if (held := texts.get(text)) is None:
+                texts[text] = [a, b, [(block, found)]]
             else:
-                if a < x:
-                    low[w] = a
-                if b > high[w]:
-                    high[w] = b
-    automaton = ahocorasick.Automaton()
-    for w, a in low.items():
-        if a < high[w]:
-            automaton.add_word(w, a)
+                held[0], held[1] = min(a, held[0]), max(b, held[1])
+                held[2].append((block, found))
+        if len(texts) == 1:
+            ((text, (a, b, holders)),) = texts.items()
+            if a < b:
+                line = line_of(text)
+                automaton.add_word(line, (len(line), a))
+                lines.append((line, holders))
+            continue
+        low: dict[str, int] = {}
+        high: dict[str, int] = {}
+        for text, (a, b, holders) in texts.items():
+            line = line_of(text)
+            lines.append((line, holders))
+            for j in range(len(line) - WINDOW + 1):
+                w = line[j : j + WINDOW]
+                if (x := low.get(w)) is None:
+                    low[w], high[w] = a, b
+                else:
+                    if a < x:
+                        low[w] = a
+                    if b > high[w]:
+                        high[w] = b
+        for w, a in low.items():
+            if a < high[w]:
+                automaton.add_word(w, (WINDOW, a))
     if not len(automaton):
         return
     automaton.make_automaton()
-    for (_, block, _, found), line in zip(segments, lines, strict=True):
-        hits = [(end - WINDOW + 1, a) for end, a in automaton.iter(line)]
+    for line, holders in lines:
+        hits = [(end + 1 - n, end + 1, a) for end, (n, a) in automaton.iter(line)]
         if not hits:
             continue
-        for i, doc, first in found:
-            start = stop = -1
-            for j, a in hits:
-                if a >= i:
-                    continue
-                if j > stop:
-                    if stop > 0:
-                        yield block, doc, first + start, first + stop
-                    start = j
-                stop = j + WINDOW
-            if stop > 0:
-                yield block, doc, first + start, first + stop
+        for block, found in holders:
+            for i, doc, first in found:
+                start = stop = -1
+                for j, end, a in hits:
+                    if a >= i:
+                        continue
+                    if j > stop:
+                        if stop > 0:
+                            yield block, doc, first + start, first + stop
+                        start = j
+                    stop = end
+                if stop > 0:
+                    yield block, doc, first + start, first + stop
 
 
 def dedup(df: DataFrame) -> DataFrame:
