@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, map_rows, ship, table
 from .components import components
@@ -167,12 +166,21 @@ def groups(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, columns: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``df`` whose document stays: that of the smallest doc_id in its group, one row of it."""
-    kept = groups(df, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("kept_id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns), *columns)
-    rows = df.select(columns).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("row of id", F.row_number().over(order)).where(F.col("row of id") == 1).select(columns)
+    """One row of ``df`` for each group: that of the smallest doc_id, null ids last, then of the smallest hash.
+
+    Rows are told apart by 128 bits of hashes of all ``columns``, so different texts that repeat an
+    id, or have none, are chosen by their own groups. Equal rows become one before the shuffle;
+    texts are shuffled once.
+    """
+    nulls = [F.col(c).isNull() for c in columns]
+    marked = df.select(*columns, F.xxhash64(*columns, *nulls).alias("row hash"), F.xxhash64(F.lit(1), *columns, *nulls).alias("second hash"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row hash").alias("h"), F.col("second hash").alias("g"))
+    fps = cut(fingerprints(marked.select(row.alias("least"), "text"), shingle, "least").groupBy("fp").agg(F.min("least").alias("least")))
+    roots = components(links(fps))
+    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left")
+    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.h").alias("kept h"), F.col("least.g").alias("kept g"))
+    held = marked.groupBy("row hash", "second hash").agg(F.first(F.struct(*columns)).alias("kept row"))
+    return held.join(kept, (F.col("row hash") == F.col("kept h")) & (F.col("second hash") == F.col("kept g")), "left_semi").select("kept row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

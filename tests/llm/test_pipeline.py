@@ -1,5 +1,6 @@
 """Each stage of the pipeline, written and reread, on its own input."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -55,3 +56,16 @@ def test_mix_repeats_rows(stages):
 def test_run_gives_the_last_stage(spark, folder, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, stages[-1].collect()))
     assert ids(stages[-1]) == ids(stages[4])
+
+
+def test_rows_without_an_id_or_that_repeat_one_stay_by_their_groups(spark):
+    from cases import prose
+
+    from stridemark.llm import simhash
+
+    r = random.Random(8)
+    texts = [prose(r, 80) for _ in range(40)]
+    rows = [(0, texts[0]), *((None, t) for t in texts[:20]), *((7, t) for t in texts[20:]), (None, texts[5]), (7, texts[30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["text"] for r in simhash.one_of_each(df, ["doc_id", "text"]).collect())
+    assert got == sorted(texts)
