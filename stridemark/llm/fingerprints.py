@@ -17,7 +17,7 @@ from .common import ship, table
 
 #: Code points of a k-mer and of its inner substrings; a k-mer has K - S + 1 of these.
 K, S = 16, 6
-#: Anchors that a fingerprint keeps.
+#: Anchors that a short sketch keeps; op2 keeps all.
 ANCHORS = 64
 #: Code points that the kernel takes at a time (more only for one longer text).
 CHUNK = 400_000
@@ -57,24 +57,25 @@ def closed(h: np.ndarray, w: int) -> np.ndarray:
     return (h[:n] <= low[1 : n + 1]) | (h[w - 1 :] < low[:n])
 
 
-def anchors(texts: list[str]) -> list[np.ndarray]:
-    """For each whole text the hashes of its ANCHORS smallest closed syncmers, in order of position.
+def anchors(texts: list[str], most: int | None = ANCHORS) -> list[np.ndarray]:
+    """For each whole text the hashes of its closed syncmers, in order of position.
 
-    Whether a k-mer is a closed syncmer depends on its own code points only, so an edit moves no
-    anchor outside of the k-mers that it touches. A text without one has the hash of all of it
-    as its only anchor; an empty text has none.
+    With ``most`` None that is every one of them, repeats too. Whether a k-mer is a closed syncmer
+    depends on its own code points only, so an edit moves no anchor outside of the k-mers that it
+    touches. With a number only so many smallest distinct hashes stay, which depend on the whole text.
+    A text without one has the hash of all of it as its only anchor; an empty text has none.
     """
     out: list[np.ndarray] = []
     lo = size = 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= CHUNK or i == len(texts) - 1:
-            out += _anchors(texts[lo : i + 1])
+            out += _anchors(texts[lo : i + 1], most)
             lo, size = i + 1, 0
     return out
 
 
-def _anchors(texts: list[str]) -> list[np.ndarray]:
+def _anchors(texts: list[str], most: int | None) -> list[np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(lengths)
@@ -85,19 +86,20 @@ def _anchors(texts: list[str]) -> list[np.ndarray]:
         inside = at + K <= ends[doc]  # k-mers across two texts are none
         at, doc = at[inside], doc[inside]
         h = rolled(codes, K, at)
-        keys = (doc.astype(np.uint64) << np.uint64(32)) | h
-        ranked = np.sort(keys)
-        ranked = ranked[np.append(True, ranked[1:] != ranked[:-1])] if len(ranked) else ranked
-        first = np.searchsorted(ranked, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
-        some = np.flatnonzero(first[1:] > first[:-1])
-        last = np.zeros(len(texts), np.uint64)
-        last[some] = ranked[np.minimum(first[some] + ANCHORS, first[some + 1]) - 1]
-        keep = keys <= last[doc]
-        _, one = np.unique(keys[keep], return_index=True)  # the first place of each hash in its text
-        one.sort()
-        doc, h = doc[keep][one], h[keep][one]
+        if most is not None:
+            keys = (doc.astype(np.uint64) << np.uint64(32)) | h
+            ranked = np.sort(keys)
+            ranked = ranked[np.append(True, ranked[1:] != ranked[:-1])] if len(ranked) else ranked
+            first = np.searchsorted(ranked, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
+            some = np.flatnonzero(first[1:] > first[:-1])
+            last = np.zeros(len(texts), np.uint64)
+            last[some] = ranked[np.minimum(first[some] + most, first[some + 1]) - 1]
+            keep = keys <= last[doc]
+            _, one = np.unique(keys[keep], return_index=True)  # the first place of each hash in its text
+            one.sort()
+            doc, h = doc[keep][one], h[keep][one]
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for d in some.tolist():
+        for d in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             out[d] = h[cuts[d] : cuts[d + 1]]
     for d, t in enumerate(texts):
         if t and not len(out[d]):
@@ -105,23 +107,38 @@ def _anchors(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def likeness(a: list[int], b: list[int]) -> float:
-    """Share, among the smallest ANCHORS hashes of both, of those that match in the same order.
+def numbered(a: np.ndarray) -> np.ndarray:
+    """Each hash with the number of times that it came before, so that repeats differ."""
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    nth = np.zeros(len(a), np.uint64)
+    nth[order] = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return a.astype(np.uint64) << np.uint64(32) | nth
+
+
+def likeness(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> float:
+    """Share, among all the hashes of both, of those that match in the same order.
 
     0 to 1; 1 for two equal fingerprints, also empty ones. The matches that count are the longest
-    chain whose positions rise in both.
+    chain whose positions rise in both; the n-th place of a hash matches its n-th place.
     """
-    if a == b:
+    a, b = np.asarray(a, np.uint32), np.asarray(b, np.uint32)
+    if np.array_equal(a, b):
         return 1.0
-    other = {h: i for i, h in enumerate(b)}
-    least = sorted({*a, *b})[:ANCHORS]
-    top = least[-1]
+    if not len(a) or not len(b):
+        return 0.0
+    _, at, other = np.intersect1d(numbered(a), numbered(b), assume_unique=True, return_indices=True)
+    rising = other[np.argsort(at)]
+    # a match with none out of order to it is in every longest chain
+    n = len(rising)
+    low, high = np.maximum.accumulate(rising), np.minimum.accumulate(rising[::-1])[::-1] if n else rising
+    fixed = (rising == low) & (rising == high)
     tails: list[int] = []
-    for h in a:
-        if h <= top and (i := other.get(h)) is not None:
-            p = bisect.bisect_left(tails, i)
-            tails[p : p + 1] = [i]
-    return len(tails) / len(least)
+    for i in rising[~fixed].tolist():
+        p = bisect.bisect_left(tails, i)
+        tails[p : p + 1] = [i]
+    return (int(fixed.sum()) + len(tails)) / (len(a) + len(b) - n)
 
 
 def text_of(a: np.ndarray) -> str:
@@ -208,14 +225,13 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
     def result(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         texts = [t for _, t, _ in rows]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in rows]
-        own = anchors(texts)
+        own = anchors(texts, None)
         # a text's next is the text after it, unless a bucket ends
         odd = {i for i, (_, _, n) in enumerate(rows) if i + 1 == len(rows) or n is not rows[i + 1][1]}
-        other = dict(zip(sorted(odd), anchors([rows[i][2] for i in sorted(odd)]), strict=True))
-        new = anchors(edited)
-        lists = [a.tolist() for a in own]
-        near = [likeness(a, b.tolist()) for a, b in zip(lists, new, strict=True)]
-        following = [likeness(a, other[i].tolist() if i in odd else lists[i + 1]) for i, a in enumerate(lists)]
+        other = dict(zip(sorted(odd), anchors([rows[i][2] for i in sorted(odd)], None), strict=True))
+        new = anchors(edited, None)
+        near = [likeness(a, b) for a, b in zip(own, new, strict=True)]
+        following = [likeness(a, other[i] if i in odd else own[i + 1]) for i, a in enumerate(own)]
         columns = {
             key: pa.array([i for i, _, _ in rows], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited]),

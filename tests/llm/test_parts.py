@@ -190,3 +190,26 @@ def test_features_agree_with_their_columns(spark):
     df = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(rows)], "i int, b string, c string")
     got = {r["i"]: [r["f"][n] for n in secrets.FEATURES] for r in df.select("i", secrets.features(F.col("c"), F.col("b")).alias("f")).collect()}
     assert all(np.allclose(got[i], secrets.feature_row(c, b)) for i, (b, c, _) in enumerate(rows))
+
+
+def test_likeness_takes_all_anchors_of_long_texts(spark):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(100_000))
+    all_ = lambda t: fingerprints.anchors([t], None)[0]
+    for at in range(1000, 90_000, 9000):
+        edited = text[:at] + "".join(r.choice("ijklmnop ") for _ in range(200)) + text[at + 200 :]
+        assert 0.99 < fingerprints.likeness(all_(text), all_(edited)) < 1
+    passage = text[5000:6000]
+    others = ["".join(r.choice("abcdefgh ") for _ in range(20_000)) for _ in range(2)]
+    a, b = (all_(t[:10_000] + passage + t[10_000:]) for t in others)
+    assert fingerprints.likeness(a, b) > 0.015
+    # the longest chain by its definition, with repeats
+    for _ in range(200):
+        a, b = ([r.randrange(9) for _ in range(r.randrange(1, 12))] for _ in range(2))
+        x, y = ([(h, s[:i].count(h)) for i, h in enumerate(s)] for s in (a, b))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in np.ndindex(len(x), len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        assert fingerprints.likeness(a, b) == best[-1][-1] / len({*x, *y})
+    docs = spark.createDataFrame([(0, text), (1, text[:50_000] + "Z" * 200 + text[50_200:])], "doc_id long, text string")
+    assert all(len(x["fingerprint"]) > 8 * 15_000 and 0.98 < x["near_next"] < 1 for x in fingerprints.compare_with_next(docs).collect())
