@@ -18,9 +18,29 @@ from pyspark.sql import functions as F
 from . import forest
 from .common import table
 
-#: A candidate is a whole run of at least 16 of these characters with a digit in it.
-RUN = r"A-Za-z0-9+/=_\-"
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z+/=_\-]*+[0-9])[{RUN}]{{16,}}+"
+RUN = r"A-Za-z0-9+/_\-"
+SPACE = r"\x20\x09-\x0D"
+
+
+def _anywhere(words: list[str], glues: list[str]) -> str:
+    """A look-behind for any word, in any case, and glue; words of one length share one, as its width has to be fixed."""
+    cased = lambda w: "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else "[_\\-]" for x in w)
+    widths = sorted({len(w) for w in words})
+    return "|".join(f"(?<=(?:{'|'.join(cased(w) for w in words if len(w) == n)}){g})" for n in widths for g in glues)
+
+
+#: Ends of names whose assigned values are candidates of any length and alphabet.
+ENDS = ["pwd", "_key", "token", "secret", "passwd", "apikey", "password", "passphrase", "credential", "credentials"]
+_BARE = _anywhere(ENDS, ["[=:]", "[=:] ", " [=:] ", "[\"']: ", "[\"']:"])
+_QUOTED = _anywhere(ENDS, ["[=:][\"']", "[=:] [\"']", " [=:] [\"']", "[\"']:[\"']", "[\"']: [\"']"])
+#: A candidate is the value of a named assignment, or else a whole run of at least 16 of RUN with a digit in it,
+#: with dotted parts of such runs and trailing padding. The same text is a pattern of Java and of Python.
+CANDIDATE = (
+    rf"(?<=[=:])(?:{_BARE})[^{SPACE}\"'`&]++"
+    rf"|(?<=[=:] )(?:{_BARE})[^{SPACE}\"'`&]++"
+    rf"|(?:(?<=[=:][\"'])|(?<=[=:] [\"']))(?:{_QUOTED})(?:(?<=\")[^\"\r\n]++|(?<=')[^'\r\n]++)"
+    rf"|(?<![{RUN}])(?=[A-Za-z+/_\-]*+[0-9])[{RUN}]{{16,}}+(?:\.[{RUN}]{{16,}}+)*+(?:={{1,2}}(?![{RUN}=]))?"
+)
 #: Characters before a candidate that its features see.
 CONTEXT = 40
 MARK = "[SECRET]"
@@ -95,7 +115,7 @@ def feature_row(c: str, before: str) -> list[float]:
 
 
 def findings(n: int = 3000, seed: int = 10) -> list[tuple[str, str, int]]:
-    """Labelled findings (text before, candidate, 1 for a secret), made by rule from a seed."""
+    """Labelled findings (text before, candidate, 1 for a secret): the candidates of whole lines made by rule from a seed."""
     r = random.Random(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
@@ -109,7 +129,7 @@ def findings(n: int = 3000, seed: int = 10) -> list[tuple[str, str, int]]:
     for _ in range(n):
         secret = r.random() < 0.5
         if secret:
-            kind = r.randrange(6)
+            kind = r.randrange(9)
             value = [
                 lambda: hexa(r.choice([32, 40, 40, 40, 48, 64])),
                 lambda: some(lower + upper + digit, r.randint(20, 48)),
@@ -117,12 +137,16 @@ def findings(n: int = 3000, seed: int = 10) -> list[tuple[str, str, int]]:
                 lambda: r.choice(["ghp_", "sk-", "xoxb-", "glpat-", "pk_live_"]) + some(lower + upper + digit, r.randint(20, 40)),
                 lambda: some(lower + upper + digit + "+/", r.choice([40, 43, 64])) + r.choice(["", "="]),
                 lambda: some(lower + upper + digit + "_-", r.randint(18, 60)),
+                lambda: some(lower, r.randint(2, 6)) + some(upper + digit + "!@$.%^*#", r.randint(3, 8)),
+                lambda: some(lower + upper, r.randint(12, 30)),
+                lambda: "eyJ" + ".".join(some(lower + upper + digit + "_-", k) for k in (r.randint(17, 40), r.randint(20, 90), 43)),
             ][kind]()
             # the forms with a mark of their own are secrets wherever they stand
             named = r.random() < (0.6 if kind in (2, 3) else 1.0)
-            before = prose() + " " + (r.choice(names) + glue() if named else r.choice(["", glue(), word() + " "]))
+            site = f"https://{word()}.com/{word()}?" if r.random() < 0.1 else " "
+            before = prose() + site + (r.choice(names) + glue() if named else r.choice(["", glue(), word() + " "]))
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(11)
             value = [
                 lambda: hexa(r.choice([32, 40, 40, 64])),
                 lambda: "-".join(hexa(k) for k in (8, 4, 4, 4, 12)),
@@ -133,14 +157,20 @@ def findings(n: int = 3000, seed: int = 10) -> list[tuple[str, str, int]]:
                 lambda: r.choice(["=", "-", "_"]) * r.randint(8, 30) + some(digit, r.randint(8, 10)),
                 lambda: some(lower + upper + digit, r.randint(20, 40)),
                 lambda: "-".join(some(digit, k) for k in (4, 2, 2)) + "-" + some(digit, r.randint(6, 12)),
+                lambda: r.choice([word(), word(), r.choice(["true", "false", "null", "None", "***", "xxxx", "string", "required"])]),
+                lambda: r.choice(["${" + word().upper() + "}", "<" + word() + ">", word() + "." + word() + "()", word() + "_" + word(), word() + "."]),
             ][kind]()
             near = r.choice([r.choice(plain) + glue(), r.choice(plain) + " ", "https://" + word() + ".com/", word() + "/", ""]) if kind in (0, 7) else r.choice(["", word() + " ", r.choice(plain) + glue(), "https://" + word() + ".org/", word() + "/", word() + glue()])
+            if kind > 8:
+                near = r.choice(names) + glue()
             before = prose() + " " + near
-        if len(value) < 16 or not any(c in digit for c in value):
-            continue
         if r.random() < 0.1:
             before, value = before.upper(), value.upper()
-        out.append((before, value, int(secret)))
+        at = 0
+        for m in re.finditer(CANDIDATE, before + value):
+            if m.end() > len(before):
+                out.append(((before + value)[at : m.start()], m[0], int(secret)))
+            at = m.end()
     return out
 
 

@@ -213,3 +213,14 @@ def test_likeness_takes_all_anchors_of_long_texts(spark):
         assert fingerprints.likeness(a, b) == best[-1][-1] / len({*x, *y})
     docs = spark.createDataFrame([(0, text), (1, text[:50_000] + "Z" * 200 + text[50_200:])], "doc_id long, text string")
     assert all(len(x["fingerprint"]) > 8 * 15_000 and 0.98 < x["near_next"] < 1 for x in fingerprints.compare_with_next(docs).collect())
+
+
+def test_secrets_of_assignments_and_of_other_alphabets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFt.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5cX"
+    hidden = {f"TOKEN={key}": key, f"see https://a.com/x?token={key}&b=1": key, f"run --token={key}": key, "password = hT9!x@Q$2": "hT9!x@Q$2",
+              'DB_PASSWORD="aX7#kP2$"': "aX7#kP2$", "client_secret=QwErTyUiOpAsDfGhJkLz": "QwErTyUiOpAsDfGhJkLz", f"auth_token: {jwt}": jwt}
+    shown = [f"sha1={key}", f"commit={key}", "the password: is required", "a key = value"]
+    docs = spark.createDataFrame([(t,) for t in [*hidden, *shown]], "text string")
+    got = {r["text"]: r["shown"] for r in secrets.scan(docs).select("text", secrets.redacted().alias("shown")).collect()}
+    assert got == {t: t.replace(v, secrets.MARK) for t, v in hidden.items()} | {t: t for t in shown}
