@@ -6,14 +6,16 @@ import hashlib
 import json
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, cut, map_rows, ship, table
@@ -22,10 +24,13 @@ from .common import NO_ID, cut, map_rows, ship, table
 WINDOW, MASK = 16, np.uint32(1023)
 #: Chunks are no shorter; one without a cut ends after LONGEST bytes.
 SHORTEST, LONGEST = 256, 8192
-#: White space at which the encodings of what is before and after don't depend on each other.
-EDGE = re.compile(rb"[ \n\t]")
-EDGES = np.zeros(256, bool)
-EDGES[[0x20, 0x0A, 0x09]] = True
+#: Characters beside a join that are encoded anew at first, and what that grows by until both sides agree.
+NEAR, FURTHER = 64, 4
+#: Restarts at either end of a shared chunk that travel with its ids.
+ENDS = 48
+#: Keys that more than one row in so many has are joined by broadcast: there are at most as many of them.
+HOT = 1000
+RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def cuts(text: bytes) -> list[int]:
@@ -56,40 +61,35 @@ def cuts(text: bytes) -> list[int]:
     return out
 
 
-def parts(text: bytes) -> list[tuple[bytes, bool]]:
-    """(bytes, whether it's a chunk's inside): the inside of each chunk and, between two, the join.
+def chunks(text: bytes) -> list[bytes]:
+    ends = cuts(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_id(chunk: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(chunk)
 
-    The rolling hash cuts anywhere, also within words. What lies between the last white space of
-    one chunk and the first of the next is the join, which neither chunk can encode rightly: it
-    is taken out of both and encoded anew for each document. If a chunk has no white space, the
-    join goes on until the next that has some. At white space the tokenizer drops the space and
-    starts afresh, so there the encodings before and after agree exactly with those of the whole.
-    """
-    out: list[tuple[bytes, bool]] = []
-    at = join = 0
-    for end in cuts(text):
-        first, last = EDGE.search(text, at, end), max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end), text.rfind(b"\t", at, end))
-        if first is not None:
-            head = first.start()
-            if head > join:
-                out.append((text[join:head], False))
-            if last > head + 1:
-                out.append((text[head + 1 : last], True))
-            join = last + 1
-        at = end
-    if join < len(text):
-        out.append((text[join:], False))
-    return out
 
+@dataclass
+class Marked:
+    """Ids of a text, and its restarts: the places (in characters) where the tokenizer starts a piece, with the ids before each."""
 
-def chunk_id(inside: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(inside)
+    ids: list[int]
+    starts: list[int]
+    counts: list[int]
+
+    def piece(self, i: int) -> list[int]:
+        return self.ids[self.counts[i] : self.counts[i + 1] if i + 1 < len(self.counts) else None]
 
 
 class Encoder:
-    """Ids of texts by the public tokenizer, with a bounded memo of runs between white space."""
+    """Ids by the tokenizers library, with a bounded memo.
+
+    Where the library itself splits at white space and drops it, which ``at_white_space`` tries out
+    on each file, the memo holds runs between white space; else whole texts go to the library.
+    """
 
-    MEMO = 300_000
+    MEMO = 100_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,91 +98,256 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [EDGE.split(t) for t in texts]
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({r for runs in split for r in runs if r not in memo})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False)
-            memo.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, got, strict=True))
-        out = [b"".join([memo[r] for r in runs]) for runs in split]
-        for r in new:
-            if len(r) > 64:
-                del memo[r]
+        self.tokens = token_texts(path)
+        self.runs = at_white_space(self.tokenizer)
+        # two generations: what is used while the younger one fills stays
+        self.young: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def looked_up(self, runs: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """(ids, decoded) of each run; holds these runs at least."""
+        if len(self.young) > self.MEMO:
+            self.old, self.young = self.young, {}
+        young = self.young
+        long = []
+        for r in runs - young.keys():
+            if (known := self.old.get(r)) is not None:
+                young[r] = known
+            else:
+                long.append(r)
+        for at in range(0, len(long), 4096):
+            some = long[at : at + 4096]
+            for r, ids in zip(some, self.library([r.decode("utf-8", "replace") for r in some]), strict=True):
+                young[r] = np.array(ids, "<u4").tobytes(), self.decoded(ids).encode()
+        return young
+
+    def forget(self) -> None:
+        """Long runs are not worth remembering."""
+        for r in [r for r in self.young if len(r) > 64]:
+            del self.young[r]
+
+    def whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(little-endian unsigned 32-bit ids, decoded text) of each text."""
+        if not self.runs:
+            got = self.library([t.decode("utf-8", "replace") for t in texts])
+            return [(np.array(ids, "<u4").tobytes(), self.decoded(ids).encode()) for ids in got]
+        out = []
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and (not split or size < 1 << 20):
+                split.append(texts[at].split())
+                size += len(texts[at])
+                at += 1
+            memo = self.looked_up(set().union(*split))
+            for runs in split:
+                got = [memo[r] for r in runs]
+                out.append((b"".join([i for i, _ in got]), b" ".join([d for _, d in got if d])))
+            self.forget()
         return out
 
+    def marked(self, text: str) -> Marked:
+        if self.runs:
+            found = [(m.start(), m[0].encode()) for m in RUN.finditer(text)]
+            memo = self.looked_up({r for _, r in found})
+            ids: list[int] = []
+            starts, counts = [], []
+            for at, r in found:
+                if own := memo[r][0]:
+                    starts.append(at)
+                    counts.append(len(ids))
+                    ids += np.frombuffer(own, "<u4").tolist()
+            self.forget()
+            return Marked(ids, starts, counts)
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        words, offsets = e.word_ids, e.offsets
+        new = [i for i in range(len(words)) if i == 0 or words[i] is None or words[i] != words[i - 1]]
+        return Marked(e.ids, [offsets[i][0] for i in new], new)
+
+    def decoded(self, ids: list[int]) -> str:
+        if self.tokens is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join([self.tokens[i] for i in ids])
+
 
 @lru_cache(maxsize=2)
-def token_texts(path: str) -> list[str]:
-    """Each id's token, for a tokenizer file without a decoder: its decode() joins them by a space."""
+def encoder(path: str) -> Encoder:
+    """One for a Python worker, whatever tasks it runs."""
+    return Encoder(path)
+
+
+def at_white_space(tokenizer) -> bool:
+    """Whether the tokenizer drops ASCII white space and starts anew after it, by trying all pairs of printable characters."""
+    letters = [chr(c) for c in range(33, 127)] + ["é", "中", "́", "'s", "'"]
+    spaces = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "  ", " \n"]
+    if tokenizer.pre_tokenizer is None or any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    alone = [e.ids for e in tokenizer.encode_batch_fast(letters, add_special_tokens=False)]
+    for i, s in enumerate(spaces):
+        firsts = letters if i == 0 else letters[i::7]
+        pairs = [(a, b) for a in range(len(letters)) if letters[a] in firsts for b in range(len(letters))]
+        got = tokenizer.encode_batch_fast([f"{s}{letters[a]}{s}{letters[b]}{s}" for a, b in pairs], add_special_tokens=False)
+        if any(e.ids != alone[a] + alone[b] for (a, b), e in zip(pairs, got, strict=True)):
+            return False
+    return True
+
+
+@lru_cache(maxsize=2)
+def token_texts(path: str) -> list[str] | None:
+    """Each id's token, for a tokenizer file without a decoder: its decode() joins them by a space. None with a decoder."""
     with open(path, encoding="utf-8") as f:
         read = json.load(f)
     if read.get("decoder"):
-        raise ValueError("tokenizers with a decoder of their own are not supported")
+        return None
     names = {i: t for t, i in read["model"]["vocab"].items()} | {t["id"]: t["content"] for t in read.get("added_tokens", ())}
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
-class Digest:
-    """n_tokens, ids_sha256 and decoded_sha256 of ids that come in parts."""
+def agreed(inside: Marked, whole: Marked, shift: int, all_of_it: bool) -> int | None:
+    """The first place in a chunk's start at which both encodings restart and go on with the same piece.
 
-    def __init__(self, tokens: list[str]):
-        self.tokens, self.n, self.ids, self.text = tokens, 0, hashlib.sha256(), hashlib.sha256()
+    ``whole`` encodes what is before the chunk and its start, ``shift`` characters further on. From a
+    shared restart on both go on alike, as a tokenizer reads from left to right; the last two
+    pieces of a start that is cut off may still change and don't count.
+    """
+    for i in range(len(inside.starts) - (0 if all_of_it else 2)):
+        at = inside.starts[i] + shift
+        j = bisect_left(whole.starts, at)
+        if j < len(whole.starts) and whole.starts[j] == at and whole.piece(j) == inside.piece(i):
+            return inside.starts[i]
+    return None
+
+
+def repaired(segments: list[tuple[str, bytes | None]], enc: Encoder) -> list[tuple[bytes | None, list[int], int, int]] | None:
+    """Parts of a text's ids: (chunk, (), from, to) for a shared chunk's, (None, ids, 0, 0) for what is between.
+
+    ``segments`` are the text's parts in order, with the id of those that are shared chunks. A
+    chunk's own encoding is wrong at its ends, as the rolling hash cuts anywhere. What is between
+    two chunks is encoded together with the end of the one and the start of the next, more and
+    more of it, until the encodings agree at a restart inside of the chunk; from there on its own
+    ids hold. A chunk that never agrees is encoded with what is around it. From and to are
+    characters of the chunk; None if a chunk's end doesn't agree.
+    """
+    out: list[tuple[bytes | None, list[int], int, int]] = []
+    lead, skip, gap = "", 0, ""
+    for text, chunk in segments:
+        if chunk is None:
+            gap += text
+            continue
+        size, start, joined = NEAR, None, None
+        while start is None:
+            joined = enc.marked(lead + gap + text[:size])
+            start = agreed(enc.marked(text[:size]), joined, len(lead) + len(gap), size >= len(text))
+            if size >= len(text):
+                break
+            size *= FURTHER
+        size, end = NEAR, None
+        while start is not None and end is None:
+            last = enc.marked(text[-size:]).starts
+            # neither the first, which the cut may have made, nor the last ones, which the text after may change
+            if len(last) >= 6:
+                end = len(text) - min(size, len(text)) + last[-4]
+                last = last[1] + max(0, len(text) - size)
+            elif size >= len(text):
+                break
+            else:
+                size *= FURTHER
+        if start is None or end is None or last <= start or end <= start:
+            gap += text
+            continue
+        if (ids := between(joined, skip, len(lead) + len(gap) + start)) is None:
+            return None
+        out += [(None, ids, 0, 0), (chunk, [], start, end)]
+        lead, gap = text[last:], ""
+        skip = end - last
+    ids = between(enc.marked(lead + gap), skip, None)
+    return None if ids is None else [*out, (None, ids, 0, 0)]
+
+
+def between(m: Marked, a: int, b: int | None) -> list[int] | None:
+    """Ids from one restart to another (0 and None: from the start, to the end); None where there is none."""
+    places = dict(zip(m.starts, m.counts, strict=True))
+    lo = 0 if a == 0 else places.get(a)
+    hi = len(m.ids) if b is None else places.get(b)
+    return None if lo is None or hi is None or hi < lo else m.ids[lo:hi]
+
+
+class Output:
+    """The columns of a row from ids that come in parts: digests, or the ids and the text that they decode to."""
+
+    def __init__(self, enc: Encoder, real: bool):
+        self.enc, self.real, self.parts = enc, real, []
 
     def add(self, ids: bytes) -> None:
-        if not ids:
-            return
-        got = np.frombuffer(ids, "<u4").tolist()
-        self.text.update((" " * bool(self.n) + " ".join(map(self.tokens.__getitem__, got))).encode())
-        self.n += len(got)
-        self.ids.update(ids)
+        self.parts.append(ids)
 
-    def row(self) -> tuple[int, str, str]:
-        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+    def row(self) -> tuple:
+        ids = b"".join(self.parts)
+        return finished(ids, self.enc.decoded(np.frombuffer(ids, "<u4").tolist()).encode(), self.real)
 
 
-ENCODED = "kind int, key binary, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, parts array<struct<chunk: binary, ids: binary>>"
-ENCODED_TYPE = pa.schema([
-    ("kind", pa.int32()), ("key", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-    ("ids", pa.binary()), ("parts", pa.list_(pa.struct([("chunk", pa.binary()), ("ids", pa.binary())]))),
-])
+def finished(ids: bytes, text: bytes, real: bool) -> tuple:
+    if real:
+        return len(ids) // 4, ids, text.decode()
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
-def encode(df: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``df`` (doc_id, text).
+def columns_of(real: bool) -> tuple[list[str], str, list[pa.DataType]]:
+    names = ["n_tokens", "ids", "decoded"] if real else ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kinds = ["long", "binary" if real else "string", "string"]
+    return names, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), [pa.int64(), pa.binary() if real else pa.string(), pa.string()]
 
-    Ids are those of the tokenizers library for the whole text without special tokens added,
-    decoded_sha256 is that of its decode() with special tokens kept. A null text is empty; rows
-    that repeat an id get a row each; an empty table gives an empty table; other columns are
-    ignored. Each distinct text is encoded once, and so is each chunk that several texts share:
-    by the text of the smallest key that holds it. The others take the ids from there.
+
+def split_hot(counted: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold) keys of a table with a row count ``n`` each: of ``total`` rows, at most HOT keys can hold one in HOT."""
+    return counted.where(F.col("n") * HOT >= total), counted.where(F.col("n") * HOT < total)
+
+
+def join_hot(big: DataFrame, on: Callable[[], Column], hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """An inner join in which rows of hot keys stay where they are."""
+    return big.join(F.broadcast(hot), on()).unionByName(big.join(F.broadcast(hot), on(), "left_anti").join(cold, on()))
+
+
+def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``df`` (doc_id, text); with ``real``
+    (doc_id, n_tokens, ids, decoded): little-endian unsigned 32-bit ids, and the text that they decode to.
+
+    Ids are those of the tokenizers library for the whole text without special tokens added, the
+    decoded text that of its decode() with special tokens kept, for any tokenizer file that reads
+    from left to right. A null text is empty; rows that repeat an id get a row each; an empty table
+    gives an empty table; other columns are ignored.
+
+    Each distinct text is encoded once, and so is each chunk that several texts share, by the text
+    of the smallest key that holds it. The others take the ids from there and repair the joins. A
+    text whose joins can't be made to agree is encoded whole.
     """
     spark = df.sparkSession
     ship(spark)
     rows = df.selectExpr("doc_id", "cast(coalesce(text, '') as binary) as text")
     kind = dict(df.dtypes)["doc_id"]
     rid = F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID))
+    names, shape, kinds = columns_of(real)
 
     def look() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            chunks = [list({chunk_id(p) for p, inside in parts(t) if inside}) for t in texts]
-            return pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "key", "chunks"])
+            # a text that is one chunk shares it only as a whole
+            held = [list({chunk_id(c) for c in cs if len(c) >= SHORTEST}) if len(cs := chunks(t)) > 1 else [] for t in texts]
+            return pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(held, pa.list_(pa.binary()))], ["doc_id", "key", "chunks"])
 
         return step
 
     seen = cut(map_rows(rows, look, f"doc_id {kind}, key binary, chunks array<binary>"))
     # one row of each distinct text stands for it
-    texts = cut(seen.groupBy("key").agg(F.min(rid).alias("owner_id"), F.first("chunks").alias("chunks")))
+    texts = cut(seen.groupBy("key").agg(F.min(rid).alias("owner_id"), F.count(F.lit(1)).alias("n"), F.first("chunks").alias("chunks")))
+    sizes = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("held")).first()
     held = texts.select("key", F.explode("chunks").alias("chunk"))
-    shared = held.groupBy("chunk").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    known = held.join(shared, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "owner")).alias("shared"))
+    shared = cut(held.groupBy("chunk").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot, cold = split_hot(shared.withColumnRenamed("chunk", "c"), sizes["held"])
+    known = join_hot(held, lambda: F.col("chunk") == F.col("c"), hot, cold).groupBy("key").agg(F.collect_list(F.struct("chunk", "owner")).alias("shared"))
     known = texts.select("key", "owner_id").join(known, "key", "left").select(F.col("key").alias("k"), "owner_id", "shared")
 
     def pack() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -195,92 +360,105 @@ def encode(df: DataFrame, path: str) -> DataFrame:
         return step
 
     packed = map_rows(rows, pack, f"doc_id {kind}, key binary, z binary").withColumn("rid", rid)
-    # by key and id, so that the copies of one text don't meet in one task
-    whole = packed.join(known, (F.col("key") == F.col("k")) & (F.col("rid") == F.col("owner_id")))
-    whole = whole.dropDuplicates(["key", "rid"]).select("key", "z", "shared")
+
+    def of_owners(wanted: DataFrame) -> DataFrame:
+        # by key and id, so that the copies of one text don't meet in one task
+        found = packed.join(wanted, (F.col("key") == F.col("k")) & (F.col("rid") == F.col("owner_id")))
+        return found.dropDuplicates(["key", "rid"]).select("key", "z", "shared")
+
+    part = "array<struct<chunk: binary, ids: binary, from: int, to: int>>"
+    fields = f"kind int, key binary, {shape}, ids_of binary, starts binary, counts binary, parts {part}"
+    part_type = pa.list_(pa.struct([("chunk", pa.binary()), ("ids", pa.binary()), ("from", pa.int32()), ("to", pa.int32())]))
+    made_type = pa.schema([("kind", pa.int32()), ("key", pa.binary()), *zip(names, kinds, strict=True), ("ids_of", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("parts", part_type)])
+    pressed = lambda x: np.array(x, "<u4").tobytes()
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        encoder, tokens = Encoder(path), token_texts(path)
-        unpack = zstandard.ZstdDecompressor().decompress
+        enc, unpack = encoder(path), zstandard.ZstdDecompressor().decompress
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            todo: list[bytes] = []
-            plans = []
-            for key, z, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                owners = {r["chunk"]: r["owner"] for r in shared or ()}
-                plan = []  # (place in todo or -1, chunk if it's shared)
-                own: dict[bytes, int] = {}
-                for p, inside in parts(unpack(z)):
-                    c = chunk_id(p) if inside and owners else None
-                    owner = owners.get(c) if c else None
-                    if owner is not None and owner != key:
-                        plan.append((-1, c))
-                        continue
-                    if owner is not None and c in own:
-                        plan.append((own[c], None))
-                        continue
-                    if owner is not None:
-                        own[c] = len(todo)
-                    plan.append((len(todo), c if owner is not None else None))
-                    todo.append(p)
-                plans.append((key, plan))
-            ids = encoder.encode(todo)
-            out = []
-            for key, plan in plans:
-                out += [(1, c, None, None, None, ids[i], None) for i, c in plan if c is not None and i >= 0]
-                if all(i >= 0 for i, _ in plan):
-                    d = Digest(tokens)
-                    for i, _ in plan:
-                        d.add(ids[i])
-                    out.append((0, key, *d.row(), None, None))
-                    continue
-                joined: list[dict] = []  # neighbours that are known are one part
-                for i, c in plan:
-                    if i < 0:
-                        joined.append({"chunk": c, "ids": None})
-                    elif joined and joined[-1]["chunk"] is None:
-                        joined[-1]["ids"] += ids[i]
-                    else:
-                        joined.append({"chunk": None, "ids": ids[i]})
-                out.append((2, key, None, None, None, None, joined))
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ENCODED_TYPE, strict=True)], schema=ENCODED_TYPE) if out else None
+            out: list[tuple] = []
+            plain: list[tuple[bytes, bytes]] = []
+            for key, z, shared_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                owners = {r["chunk"]: r["owner"] for r in shared_ or ()}
+                text = unpack(z)
+                plan = None
+                if owners:
+                    segments = [(c.decode("utf-8", "replace"), i if (i := chunk_id(c)) in owners else None) for c in chunks(text)]
+                    for own in {i: t for t, i in segments if i is not None and owners[i] == key}.items():
+                        m = enc.marked(own[1])
+                        if len(m.starts) > 2 * ENDS:
+                            m = Marked(m.ids, m.starts[:ENDS] + m.starts[-ENDS:], m.counts[:ENDS] + m.counts[-ENDS:])
+                        out.append((1, own[0], None, None, None, pressed(m.ids), pressed(m.starts), pressed(m.counts), None))
+                    plan = repaired(segments, enc) if any(owners.get(i, key) != key for _, i in segments) else None
+                if plan is None:
+                    plain.append((key, text))
+                else:
+                    parts = [{"chunk": c, "ids": pressed(ids), "from": a, "to": b} for c, ids, a, b in plan if c is not None or ids]
+                    out.append((2, key, *[None] * 6, parts))
+            out += [(0, key, *finished(*got, real), *[None] * 4) for (key, _), got in zip(plain, enc.whole([t for _, t in plain]), strict=True)]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made_type, strict=True)], schema=made_type) if out else None
 
         return step
 
-    made = cut(map_rows(whole, work, ENCODED, rows=512))
-    published = made.where("kind = 1").select(F.col("key").alias("chunk"), F.col("ids").alias("got"))
-    waiting = made.where("kind = 2").select("key", F.posexplode("parts").alias("place", "part"))
-    waiting = waiting.select("key", "place", F.col("part.chunk").alias("chunk"), F.col("part.ids").alias("ids"))
-    filled = waiting.where("chunk is not null").drop("ids").join(published, "chunk").select("key", "place", F.col("got").alias("ids"))
-    filled = filled.unionByName(waiting.where("chunk is null").select("key", "place", "ids"))
+    made = cut(map_rows(of_owners(known), work, fields, rows=512))
+    published = made.where("kind = 1").select(F.col("key").alias("chunk"), F.col("ids_of").alias("ids"), "starts", "counts")
+    published = published.join(shared.select("chunk", "n"), "chunk").withColumnRenamed("chunk", "c")
+    waiting = made.where("kind = 2").select("key", F.posexplode("parts").alias("place", "part")).select("key", "place", "part.*")
+    hot, cold = split_hot(published, sizes["held"])
+    wanted = waiting.where("chunk is not null").drop("ids")
+    filled = join_hot(wanted, lambda: F.col("chunk") == F.col("c"), hot, cold).select("key", "place", "from", "to", "ids", "starts", "counts")
+    own = waiting.where("chunk is null").select("key", "place", "from", "to", "ids", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("counts"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filled = filled.repartition(n, "key").sortWithinPartitions("key", "place")
+    filled = filled.unionByName(own).repartition(n, "key").sortWithinPartitions("key", "place")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_texts(path)
-        at, digest, out = None, None, []
+        enc = encoder(path)
+        at, output, right, out = None, None, True, []
 
         def rows_out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), *kinds), strict=True)], ["key", *names])
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != at:
-                    if digest is not None:
-                        out.append((at, *digest.row()))
-                    at, digest = key, Digest(tokens)
-                digest.add(ids)
-            if len(out) >= 1000:
-                yield rows_out()
-                out = []
-        if digest is not None:
-            out.append((at, *digest.row()))
+            for lo in range(0, batch.num_rows, 256):
+                for key, _, a, b, ids, starts, counts in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    if key != at:
+                        if output is not None:
+                            out.append((at, *(output.row() if right else [None] * 3)))
+                        at, output, right = key, Output(enc, real), True
+                    if starts is not None:
+                        places = dict(zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True))
+                        if a not in places or b not in places:
+                            right = False  # the owner's encoding doesn't restart there
+                            continue
+                        ids = ids[4 * places[a] : 4 * places[b]]
+                    output.add(ids)
+                if len(out) >= 500:
+                    yield rows_out()
+                    out = []
+        if output is not None:
+            out.append((at, *(output.row() if right else [None] * 3)))
             yield rows_out()
 
-    columns = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
-    late = filled.mapInArrow(finish, "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    done = made.where("kind = 0").select(columns).unionByName(late).withColumnRenamed("key", "k")
-    return seen.select("doc_id", "key").join(done, F.col("key") == F.col("k")).select("doc_id", *columns[1:])
+    late = cut(filled.mapInArrow(finish, f"key binary, {shape}"))
+    done = made.where("kind = 0").select("key", *names).unionByName(late.where("n_tokens is not null"))
+    failed = late.where("n_tokens is null").select("key")
+    if not failed.isEmpty():
+
+        def again() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+            enc, unpack = encoder(path), zstandard.ZstdDecompressor().decompress
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                got = enc.whole([unpack(z) for z in batch.column(1).to_pylist()])
+                out = zip(*[finished(*x, real) for x in got], strict=True)
+                return pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["key", *names])
+
+            return step
+
+        wanted = texts.join(failed, "key").select(F.col("key").alias("k"), "owner_id", F.lit(None).alias("shared"))
+        done = done.unionByName(map_rows(of_owners(wanted), again, f"key binary, {shape}"))
+    done = done.join(texts.select("key", "n"), "key").withColumnRenamed("key", "k")
+    hot, cold = split_hot(done, sizes["rows"])
+    return join_hot(seen.select("doc_id", "key"), lambda: F.col("key") == F.col("k"), hot, cold).select("doc_id", *names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stridemark.llm import bpe, components, fingerprints, forest, language, passages, pieces, secrets, simhash, toxicity
 
@@ -112,22 +113,81 @@ def test_components(spark):
 
 @settings(max_examples=100, deadline=None)
 @given(st.text("ab \n\téß日.", max_size=3000), st.integers(0, 400))
-def test_parts_keep_all_but_white_space(text, pad):
+def test_chunks_add_up(text, pad):
     data = (text + "word " * pad + "x" * pad).encode()
-    got = bpe.parts(data)
-    assert b"".join(p for p, _ in got).translate(None, b" \n\t") == data.translate(None, b" \n\t")
-    assert all(p.decode() is not None for p, _ in got)
+    assert b"".join(bpe.chunks(data)) == data and all(c.decode() is not None for c in bpe.chunks(data))
     assert bpe.cuts(data) == sorted(set(bpe.cuts(data))) and (not data or bpe.cuts(data)[-1] == len(data))
 
 
 def test_cuts_follow_the_content():
     r = random.Random(4)
     body = " ".join(str(r.randrange(10**6)) for _ in range(4000)).encode()
-    own = {bpe.chunk_id(p) for p, inside in bpe.parts(body) if inside}
-    moved = {bpe.chunk_id(p) for p, inside in bpe.parts(b"some other start " * 30 + body) if inside}
+    own = {bpe.chunk_id(c) for c in bpe.chunks(body)}
+    moved = {bpe.chunk_id(c) for c in bpe.chunks(b"some other start " * 30 + body)}
     assert len(own & moved) > 0.8 * len(own)
 
 
+@pytest.mark.parametrize(("name", "at_white_space"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_joins_are_repaired_until_they_agree(name, at_white_space):
+    """Also where a join falls into a word, a run of spaces, a special token or between a letter and its accent."""
+    import public_tokenizers
+
+    enc = bpe.encoder(public_tokenizers.path(name))
+    assert enc.runs == at_white_space
+    r = random.Random(1)
+    some = ["a", "b", "'", " ", "  ", "\n", "é", "e", "\u0301", "9", "!", "the", "ing", " don't", "日本", "<|endoftext|>", "\t"]
+    reused = 0
+    for _ in range(60):
+        text = "".join(r.choice(some) for _ in range(r.randint(600, 4000)))
+        marked, segments = {}, []
+        for c in bpe.chunks(text.encode()):
+            shared = len(c) >= 200 and r.random() < 0.6
+            segments.append((c.decode(), bpe.chunk_id(c) if shared else None))
+            if shared:
+                marked[bpe.chunk_id(c)] = enc.marked(c.decode())
+        ids = []
+        for chunk, own, a, b in bpe.repaired(segments, enc):
+            if chunk is not None:
+                places = dict(zip(marked[chunk].starts, marked[chunk].counts, strict=True))
+                own = marked[chunk].ids[places[a] : places[b]]
+                reused += len(own)
+            ids += own
+        assert ids == enc.library([text])[0]
+        assert enc.whole([text.encode()])[0] == (np.array(ids, "<u4").tobytes(), enc.tokenizer.decode(ids, skip_special_tokens=False).encode())
+    assert reused > 10_000
+
+
+def test_real_ids_and_texts_with_any_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    body = [" ".join(r.choice(["some", "Words", "that’s", "  ", "x\n"]) + str(r.randrange(999)) for _ in range(900)) for _ in range(3)]
+    texts = [body[i % 3][: r.randrange(9000)] + r.choice(["", " end", "tail "]) + body[(i + 1) % 3] for i in range(20)] + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for row in bpe.encode(docs, path, real=True).collect():
+        ids = t.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(row["ids"], "<u4").tolist() == ids and row["n_tokens"] == len(ids)
+        assert row["decoded"] == t.decode(ids, skip_special_tokens=False)
+
+
+def test_texts_that_do_not_agree_are_encoded_whole(spark, monkeypatch):
+    import public_tokenizers
+
+    r = random.Random(3)
+    body = " ".join(str(r.randrange(99999)) for _ in range(2000))
+    docs = spark.createDataFrame([(i, f"start{i} " * i + body + str(i)) for i in range(9)], "doc_id long, text string").repartition(2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    right = sorted(map(tuple, bpe.encode(docs, path).collect()))
+    # owners that publish no restarts at all
+    none = F.unhex(F.lit(""))
+    hidden = lambda t: t.withColumns({"starts": none, "counts": none}) if "starts" in t.columns else t
+    monkeypatch.setattr(bpe, "split_hot", lambda counted, n, split=bpe.split_hot: split(hidden(counted), n))
+    assert sorted(map(tuple, bpe.encode(docs, path).collect())) == right
+
+
 def test_anchors_move_with_the_text():
     r = random.Random(5)
     text = "".join(r.choice("abcdefgh ") for _ in range(2000))
@@ -145,14 +205,56 @@ def test_anchors_move_with_the_text():
 
 def test_anchors_of_equal_windows_are_equal():
     r = random.Random(6)
-    words = [str(r.randrange(30)).encode() for _ in range(400)]
-    a = passages.Anchors([1, 2], [words, [b"q"] * 7 + words[100:150] + [b"z"] * 20], passages.WordHashes())
-    at = {}
-    for h, d, first, last in zip(a.hash.tolist(), a.doc.tolist(), a.first.tolist(), a.last.tolist(), strict=True):
-        for i in range(first, last + 1):
-            at[d, i - 400 * d] = h
+    texts = [[str(r.randrange(30)).encode() for _ in range(400)]]
+    texts.append([b"q"] * 7 + texts[0][100:150] + [b"z" * 70, b"z" * 71] * 10)
+    words = passages.Words(passages.unpack_block(passages.pack_block([1, 2], [b" \n".join(t) for t in texts]))[1])
+    assert words.first.tolist() == [0, 400, 477] and len(set(words.hash[-4:].tolist())) == 2
+    a = passages.Anchors([1, 2], words)
+    at = {i: h for h, first, last in zip(a.hash.tolist(), a.first.tolist(), a.last.tolist(), strict=True) for i in range(first, last + 1)}
     assert len(at) == 388 + 65
-    assert all(at[0, 100 + i] == at[1, 7 + i] for i in range(38))
+    assert all(at[100 + i] == at[407 + i] for i in range(38))
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [b"a", b"b" * 47, b"b" * 48, b"b" * 49, b"b" * 300, b"ab", "é".encode(), b"\x00", b"\x00\x00", b"a"]
+    h = passages.Words(b" ".join(words)).hash.tolist()
+    assert len(set(h)) == 9 and h[0] == h[-1]
+    assert passages.Words(b"x\n\n" + b"\n".join(words)).hash.tolist()[1:] == h and passages.Words(b"").first.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("shard", [7, 20_000])
+def test_located_passages_are_those_of_brute_force(shard):
+    """Lines with shared windows at other places, in any number of automata."""
+    r = random.Random(7)
+    stock = [str(r.randrange(12)) for _ in range(60)]
+    lines, held = [], []
+    for i in range(60):
+        s = r.randrange(40)
+        lines.append(" ".join([f"x{i}"] * r.randrange(3) + stock[s : s + r.randint(13, 20)] + [f"y{i % 5}"]))
+        held.append([(r.randrange(30), 100 * i + j) for j in range(r.randint(1, 4))])
+    flat = [(i, d, p) for i, h in enumerate(held) for d, p in h]
+    bucket = passages.Bucket(iter([(9, [x.encode() for x in lines], *(np.array(x) for x in zip(*flat, strict=True)))]))
+    least = {}
+    windows = [[tuple(x.split()[j : j + 13]) for j in range(len(x.split()) - 12)] for x in lines]
+    for i, d, _ in flat:
+        for w in windows[i]:
+            least[w] = min(d, least.get(w, d))
+    expected = {p + j + k for i, d, p in flat for j, w in enumerate(windows[i]) if least[w] < d for k in range(13)}
+    block, first, last = passages.locate_all(bucket, shard)
+    assert set(block.tolist()) == {9} and {x for a, b in zip(first.tolist(), last.tolist(), strict=True) for x in range(a, b)} == expected
+
+
+def test_a_phrase_with_more_contexts_than_letters(spark, monkeypatch):
+    """200,000 contexts of one phrase, some of them twice; also dealt out window by window."""
+    n = 200_000
+    phrase = " ".join("abcde")
+    line = lambda i: f"{' '.join(f'l{i}.{j}' for j in range(4))} {phrase} {' '.join(f'r{i}.{j}' for j in range(4))}"
+    texts = [(k, "\n".join(line(i) for i in range(k * 2000, k * 2000 + 2000))) for k in range(n // 2000)] + [(n, line(77) + " tail"), (n + 1, line(150_001))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    for hot in (1, 10**9):
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in passages.dedup(docs).where("n_removed > 0").collect()}
+        assert got == {n: (13, "tail"), n + 1: (13, "")}
 
 
 def test_bundles_are_cosines_of_trigram_counts():
@@ -184,8 +286,6 @@ def test_secret_forest_on_findings_it_has_not_seen():
 
 
 def test_features_agree_with_their_columns(spark):
-    from pyspark.sql import functions as F
-
     rows = secrets.findings(300, seed=5)
     df = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(rows)], "i int, b string, c string")
     got = {r["i"]: [r["f"][n] for n in secrets.FEATURES] for r in df.select("i", secrets.features(F.col("c"), F.col("b")).alias("f")).collect()}
