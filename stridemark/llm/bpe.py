@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, map_rows, ship, table
+from .common import NO_ID, cut, join_hot, map_rows, ship, split_hot, table
 
 #: Bytes of the rolling hash's window; a cut is made where its low bits are zero, about every 1 KB.
 WINDOW, MASK = 16, np.uint32(1023)
@@ -28,8 +28,6 @@ SHORTEST, LONGEST = 256, 8192
 NEAR, FURTHER = 64, 4
 #: Restarts at either end of a shared chunk that travel with its ids.
 ENDS = 48
-#: Keys that more than one row in so many has are joined by broadcast: there are at most as many of them.
-HOT = 1000
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -301,16 +299,6 @@ def columns_of(real: bool) -> tuple[list[str], str, list[pa.DataType]]:
     return names, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), [pa.int64(), pa.binary() if real else pa.string(), pa.string()]
 
 
-def split_hot(counted: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(hot, cold) keys of a table with a row count ``n`` each: of ``total`` rows, at most HOT keys can hold one in HOT."""
-    return counted.where(F.col("n") * HOT >= total), counted.where(F.col("n") * HOT < total)
-
-
-def join_hot(big: DataFrame, on: Callable[[], Column], hot: DataFrame, cold: DataFrame) -> DataFrame:
-    """An inner join in which rows of hot keys stay where they are."""
-    return big.join(F.broadcast(hot), on()).unionByName(big.join(F.broadcast(hot), on(), "left_anti").join(cold, on()))
-
-
 def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``df`` (doc_id, text); with ``real``
     (doc_id, n_tokens, ids, decoded): little-endian unsigned 32-bit ids, and the text that they decode to.

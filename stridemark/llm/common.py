@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without the six ASCII white-space characters. bytes.split() and this pattern agree.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key for rows without an id, where an id has to be hashed.
 NO_ID = ""
+#: Keys that more than one row in so many has are joined by broadcast: there are at most as many of them.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +36,29 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, in the shared checkpoint folder, and cut its lineage.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a
-    single machine) is a temporary folder made.
+    The folder is the session's spark.checkpoint.dir. Only on a single machine may that be unset:
+    a temporary folder is made there, while on a cluster, whose machines don't share one, it's an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def split_hot(counted: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold) keys of a table with a row count ``n`` each: of ``total`` rows, at most HOT keys can hold one in HOT."""
+    return counted.where(F.col("n") * HOT >= total), counted.where(F.col("n") * HOT < total)
+
+
+def join_hot(big: DataFrame, on: Callable[[], Column], hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """An inner join in which rows of hot keys stay where they are."""
+    return big.join(F.broadcast(hot), on()).unionByName(big.join(F.broadcast(hot), on(), "left_anti").join(cold, on()))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],

@@ -48,23 +48,42 @@ def _tied(scores):
     return len(set(totals)) < len(totals)
 
 
-def test_ring_keeps_every_pair_within_four_bits():
+@pytest.mark.parametrize("extra", [0, 1])
+def test_ring_keeps_every_pair_within_four_bits(extra):
     r = random.Random(1)
+    ring = simhash.EXACT
     for _ in range(300):
         a = r.getrandbits(64)
         b = a
         for bit in r.sample(range(64), r.randint(1, 4)):
             b ^= 1 << bit
-        keys = {}
-        hit = False
-        for x in (a, b):
-            for k, f, own in simhash.signatures(np.array([x], np.uint64)):
-                for key in k.tolist():
-                    keys.setdefault(key, []).append((x, own))
-        for key, held in keys.items():
-            if len({x for x, _ in held}) == 2 and any(o for _, o in held):
-                hit |= bool(simhash.ring_passes(np.array([a ^ b], np.uint64), np.array([key >> 24]))[0])
-        assert hit
+        keys = [{int(k): f for key, fp in simhash.signatures(ring, np.array([[x]], np.uint64), extra=extra) for k, f in zip(key, fp, strict=True)} for x in (a, b)]
+        shared = keys[0].keys() & keys[1].keys()
+        assert any(ring.passes((keys[0][k] ^ keys[1][k])[None], k >> 56)[0] for k in shared)
+    far = np.array([[(1 << 40) - 1]], np.uint64)
+    assert not any(ring.passes(simhash.turned(far, ring.at(s)), s).any() for s in ring.starts)
+
+
+def test_turns_go_around():
+    r = np.random.default_rng(2)
+    fp = r.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
+    bits = lambda x: np.unpackbits(np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(5, 32), axis=1, bitorder="little")
+    for by in (0, 4, 64, 100, 252):
+        assert (bits(simhash.turned(fp, by)) == np.roll(bits(fp), -by, axis=1)).all()
+        assert (simhash.turned(simhash.turned(fp, by), -by % 256) == fp).all()
+
+
+def _groups(nodes, pairs):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        parent[find(x)] = find(y)
+    return {frozenset(y for y in parent if find(y) == find(x)) for x in parent}
 
 
 @pytest.mark.parametrize("small", [1, 48])
@@ -73,26 +92,57 @@ def test_links_of_groups_of_any_size_connect_the_same(monkeypatch, small):
     r = random.Random(2)
     centre = r.getrandbits(64)
     fp = np.unique(np.array([centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(200)], np.uint64))
-    parts = list(simhash.signatures(fp))
-    keys, prints, own = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts]))
-    order = np.lexsort((~own, keys))
-    a, b = simhash.links_of(keys[order], prints[order], own[order])
-    assert (np.bitwise_count(a ^ b) <= 4).all()
-
-    def groups(pairs):
-        parent = {x: x for x in fp.tolist()}
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
+    links = []
+    parts = list(simhash.signatures(simhash.EXACT, fp[:, None]))
+    keys, prints = np.concatenate([k for k, _ in parts]), np.concatenate([f for _, f in parts])
+    for n, start in enumerate(simhash.EXACT.starts):
+        mine = np.flatnonzero(keys >> np.uint64(56) == n)
+        mine = mine[np.argsort(keys[mine], kind="stable")]
+        back = simhash.turned(prints[mine], -simhash.EXACT.at(start) % 64)[:, 0]
+        a, b = simhash.links_of(simhash.EXACT, keys[mine], prints[mine])
+        links += zip(back[a].tolist(), back[b].tolist(), strict=True)
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    near = [(x, y) for i, x in enumerate(fp.tolist()) for y in fp.tolist()[:i] if (x ^ y).bit_count() <= 4]
+    assert _groups(fp.tolist(), links) == _groups(fp.tolist(), near)
 
-        for x, y in pairs:
-            parent[find(x)] = find(y)
-        return {frozenset(y for y in parent if find(y) == find(x)) for x in parent}
 
-    near = [(x, y) for i, x in enumerate(fp.tolist()) for y in fp.tolist()[:i] if (x ^ y).bit_count() <= 4]
-    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(near)
+def test_large_groups_are_dealt_out_again(spark, monkeypatch):
+    """Links are the same if nearly every signature's group is too large to be held."""
+    r = random.Random(4)
+    centres = [r.getrandbits(64) for _ in range(3)]
+    fp = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(120)})
+    df = spark.createDataFrame([(x.to_bytes(8, "big"), None) for x in fp], "fp binary, unsure binary").repartition(3)
+    near = _groups(fp, [(x, y) for i, x in enumerate(fp) for y in fp[:i] if (x ^ y).bit_count() <= 4])
+    for most in (1, 30, 200_000):
+        monkeypatch.setattr(simhash, "LARGE_GROUP", most)
+        got = [(int.from_bytes(x["u"], "big"), int.from_bytes(x["v"], "big")) for x in simhash.links(df, simhash.EXACT).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in got) and _groups(fp, got) == near
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_recall_of_near_copies_by_likeness(spark):
+    """Pairs of 300 words, one of them with single words changed: nearly all from 0.8 on are found, hardly one below 0.6, no stranger."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts, pairs = [], []
+    for _ in range(500):
+        a = [word() for _ in range(300)]
+        b = list(a)
+        for i in r.sample(range(300), r.choice([1, 3, 5, 6, 15, 20])):
+            b[i] = word()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {x["doc_id"] for x in simhash.one_of_each(docs, ["doc_id", "text"]).collect()}
+    found = [(_jaccard(texts[a], texts[b]), b not in kept) for a, b in pairs]
+    assert all(a in kept for a, _ in pairs)
+    share = lambda lo, hi: [f for j, f in found if lo <= j < hi]
+    assert np.mean(share(0.8, 0.86)) >= 0.85 and np.mean(share(0.86, 1)) >= 0.97
+    assert len(share(0.8, 0.86)) > 50 and np.mean(share(0, 0.65)) <= 0.15
 
 
 def test_components(spark):

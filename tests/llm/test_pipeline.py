@@ -35,11 +35,19 @@ def test_toxic_documents_go_and_others_stay(stages):
 
 
 def test_one_of_each_group_stays(spark, stages):
+    """Of each group the row of the smallest id; an id that repeats with unlike texts stays with both."""
     from stridemark.llm import simhash
 
-    found = simhash.groups(stages[1]).collect()
-    groups = {r["component_id"] for r in found}
-    assert sorted(x for _, x in ids(stages[2]) if x is not None) == sorted(g for g in groups if g is not None)
+    rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
+    numbered = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.groups(numbered, simhash.NEAR).collect()}
+    best = {}
+    for i, (doc_id, _) in enumerate(rows):
+        best.setdefault(group[i], []).append((doc_id is None, doc_id))
+    assert ids(stages[2]) == sorted(min(x) for x in best.values())
+    kept = {r["text"] for r in stages[2].collect()}
+    lone = {i for i, g in group.items() if list(group.values()).count(g) == 1}
+    assert all(rows[i][1] in kept for i in lone) and len(lone) > 50
 
 
 def test_secrets_are_hidden_and_all_documents_stay(stages):
