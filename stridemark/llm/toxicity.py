@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, map_rows, table
 
-#: Labelled documents of either label that the model is fitted on at most, about.
-TRAIN_PER_LABEL = 2500
-#: Features with log-odds of their own at most: those of the highest z.
+#: Labelled documents of either label that the model is fitted on at most, about, and rows of one id.
+TRAIN_PER_LABEL, ROWS_PER_ID = 2500, 8
+#: Features with log-odds of their own at most: those of the highest z, and as many that correct them.
 LEXICON = 20_000
 #: Besides whole words, their beginnings of so many letters are features: inflected words share them.
 BEGINNINGS = range(3, 9)
-#: Strength of the Dirichlet prior as a share of all counts, and what a feature's log-odds and their z must reach.
-PRIOR, LEAST_ODDS, LEAST_Z = 0.1, 1.0, 3.5
-#: Score of the words without such a feature: the drift that ends a segment.
-DRIFT = -0.05
+#: Strength of the Dirichlet prior, as a share of each label's counts, and the standard errors that log-odds shrink by.
+PRIOR, ERRORS = 0.1, 3.0
+#: The pooled log-odds of all tokens without evidence of their own are this at most, so that segments end.
+DRIFT = -0.01
 #: Word scores that a task remembers; the memo starts anew beyond this.
-MEMO = 300_000
+MEMO = 150_000
 #: Tasks that the bounded sample is counted in.
 TASKS = 12
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -38,8 +38,9 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, as (first place, last place, score), in linear time.
+def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments, as (first place, last place, score), in linear time: those of which every
+    part scores less, and that lie in no longer one of that kind.
 
     ``places`` and ``scores`` are the tokens that have a score of their own; each other token
     adds ``drift``. The candidates are kept on a stack with the running totals before and after
@@ -73,14 +74,25 @@ def features(word: str) -> list[str]:
 
 
 class Scores(dict):
-    """Scores of words, 0 for those without a feature in the lexicon, with a bounded memo."""
+    """Log-odds of words, 0 for those without evidence of their own, with a bounded memo.
 
-    def __init__(self, lexicon: dict[str, float]):
+    The strongest of a word's features speaks for it, but for no more than the log-odds, whatever
+    their error, of a more specific one.
+    """
+
+    def __init__(self, lexicon: dict[str, tuple[float, float]]):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        score = next((s for f in features(word) if (s := self.lexicon.get(f)) is not None), 0.0)
+        score = 0.0
+        for f in reversed(features(word)):
+            if (known := self.lexicon.get(f)) is not None:
+                shrunk, odds = known
+                if abs(shrunk) > abs(score):
+                    score = shrunk
+                if score > odds:
+                    score = max(odds, 0.0)
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -90,9 +102,10 @@ class Scores(dict):
 
 @dataclass
 class Model:
-    """Log-odds of features, the extreme-value law of chance segments, and the final calibration."""
+    """Log-odds of features (shrunk, and as they are), the extreme-value law of chance segments, and the final calibration."""
 
-    lexicon: dict[str, float]
+    lexicon: dict[str, tuple[float, float]]
+    drift: float = DRIFT
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     offset: float = -2.0
@@ -105,9 +118,15 @@ class Model:
         """
         return self.log_k + math.log(max(n, 1))
 
+    def segments(self, text: str | None, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and the maximal segments of all words' log-odds."""
+        got = list(map(scores.__getitem__, tokens(text)))
+        places = [i for i, s in enumerate(got) if s]
+        return len(got), segments(places, [got[i] for i in places], self.drift)
+
     def passages(self, text: str | None, scores: Scores) -> list[dict]:
         """Every significant segment: first and last word, and its evidence beyond chance, in nats."""
-        n, _, found = cut_up(text, scores)
+        n, found = self.segments(text, scores)
         floor = self.floor(n)
         return [{"first": a, "last": b, "evidence": e} for a, b, s in found if (e := self.rate * s - floor) > 0]
 
@@ -115,14 +134,6 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * evidence))))
 
 
-def cut_up(text: str | None, scores: Scores) -> tuple[int, list[float], list[tuple[int, int, float]]]:
-    """Number of words, the scores of those that have one, and the maximal segments."""
-    got = list(map(scores.__getitem__, tokens(text)))
-    places = [i for i, s in enumerate(got) if s]
-    hits = [got[i] for i in places]
-    return len(got), hits, segments(places, hits)
-
-
 def cluster(text: str) -> int:
     """The smallest hash of the text's five-word shingles: near copies mostly share it."""
     words = text.encode().split()
@@ -167,44 +178,87 @@ def fit(sample: DataFrame) -> Model:
     n1, n0 = (float(x or 0) for x in counted.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         return Model({})
-    whole = PRIOR * (n1 + n0)
-    alpha = (F.col("y1") + F.col("y0")) * PRIOR
-    odds = lambda y, n: F.log((F.col(y) + alpha) / (n + whole - F.col(y) - alpha))
-    delta = odds("y1", n1) - odds("y0", n0)
-    z = delta / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
-    top = counted.select("feature", delta.alias("delta"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS))
-    model = Model({r["feature"]: float(r["delta"]) for r in top.orderBy(F.col("z").desc(), "feature").limit(LEXICON).collect()})
+    model = Model(lexicon(counted, n1, n0))
+
+    # two passes over the bounded sample: how often each score occurs, then the segments
+    def weigh() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        scores = Scores(model.lexicon)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = Counter((y, s) for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in map(scores.__getitem__, tokens(t)))
+            return pa.record_batch([pa.array([y for y, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()), pa.array(found.values(), pa.int64())], ["toxic", "score", "n"])
+
+        return step
+
+    # a row for each score that the lexicon can give
+    weighed = map_rows(marked.select("text", "toxic"), weigh, "toxic long, score double, n long").groupBy("toxic", "score").agg(F.sum("n").alias("n")).collect()
+    law(model, [(r["toxic"], r["score"], r["n"]) for r in weighed])
 
     def judge() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         scores = Scores(model.lexicon)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [cut_up(t, scores) for t in batch.column(0).to_pylist()]
-            lists = pa.list_(pa.float64())
-            return pa.record_batch([batch.column(1), pa.array([n for n, _, _ in got], pa.int64()), pa.array([h for _, h, _ in got], lists), pa.array([[s for _, _, s in f] for _, _, f in got], lists)], ["toxic", "n", "hits", "found"])
+            got = [model.segments(t, scores) for t in batch.column(0).to_pylist()]
+            best = [model.rate * max(s for _, _, s in f) - math.log(max(n, 1)) if f else None for n, f in got]
+            segments_ = pa.array([[model.rate * s for _, _, s in f if model.rate * s > 1] for _, f in got], pa.list_(pa.float64()))
+            return pa.record_batch([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array(best, pa.float64()), segments_], ["toxic", "n", "best", "found"])
 
         return step
 
-    rows = map_rows(marked.select("text", "toxic"), judge, "toxic long, n long, hits array<double>, found array<double>").collect()
-    calibrate(model, [(r["toxic"], r["n"], r["hits"], r["found"]) for r in rows])
+    rows = map_rows(marked.select("text", "toxic"), judge, "toxic long, n long, best double, found array<double>").collect()
+    calibrate(model, [(r["toxic"], r["n"], r["best"], r["found"]) for r in rows])
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[int, int, list[float], list[float]]]) -> None:
-    """Sets the extreme-value law from the clean rows (label, words, scores, segments), and the logistic law from all."""
-    clean = [r for r in rows if not r[0]]
-    words = sum(n for _, n, _, _ in clean) + 1
-    # lambda solves: the mean of exp(lambda * score) over clean words is 1; one hit of the highest score is added
-    hits = np.array([h for _, _, x, _ in clean for h in x] + [max(model.lexicon.values(), default=1.0)])
+def lexicon(counted: DataFrame, n1: float, n0: float) -> dict[str, tuple[float, float]]:
+    """(shrunk log-odds, log-odds) of features, from rows (feature, y1, y0) of n1 and n0 counts in all.
+
+    Each label's counts get a Dirichlet prior in the pooled proportions, and log-odds shrink towards 0
+    by so many standard errors, so that those of features with little evidence vanish. A feature
+    without any left counts if its log-odds are below those of one of its beginnings.
+    """
+    share = (F.col("y1") + F.col("y0")) / (n1 + n0)
+    a1, a0 = F.col("y1") + share * (PRIOR * n1) + 0.05, F.col("y0") + share * (PRIOR * n0) + 0.05
+    odds = F.log(a1 / (n1 * (1 + PRIOR) - a1)) - F.log(a0 / (n0 * (1 + PRIOR) - a0))
+    rated = counted.select("feature", odds.alias("odds"), F.sqrt(1 / a1 + 1 / a0).alias("error"), (F.col("y1") + F.col("y0")).alias("y"))
+    shrunk = F.signum("odds") * F.greatest(F.lit(0.0), F.abs("odds") - F.col("error") * ERRORS)
+    rated = rated.withColumn("shrunk", shrunk)
+    own = rated.where("shrunk <> 0").orderBy((F.abs("odds") / F.col("error")).desc(), "feature").limit(LEXICON).select("feature", "shrunk", "odds")
+    out = {r["feature"]: (r["shrunk"], r["odds"]) for r in own.collect()}
+    above = [(f, x) for f, (x, _) in out.items() if x > 0 and f.endswith("*")]
+    if not above:
+        return out
+    # at most LEXICON beginnings
+    beginnings = F.broadcast(counted.sparkSession.createDataFrame(above, "beginning string, bound double"))
+    word = F.rtrim(F.col("feature"), F.lit("*"))
+    starts = F.array(*[F.concat(F.substring(word, 1, n), F.lit("*")) for n in BEGINNINGS])
+    lower = rated.where("shrunk = 0").select("feature", "odds", "y", F.explode(starts).alias("beginning")).where("feature <> beginning")
+    lower = lower.join(beginnings, "beginning").where("odds < bound").groupBy("feature").agg(F.min("odds").alias("odds"), F.max("y").alias("y"))
+    return out | {r["feature"]: (0.0, r["odds"]) for r in lower.orderBy(F.col("y").desc(), "feature").limit(LEXICON).collect()}
+
+
+def law(model: Model, weighed: list[tuple[int, float, int]]) -> None:
+    """Sets the drift and lambda from rows (label, score, words that have it)."""
+    total, rest = ({y: sum(n for x, s, n in weighed if x == y and (not none or not s)) for y in (0, 1)} for none in (False, True))
+    pooled = math.log(max(rest[1], 1) / max(total[1], 1)) - math.log(max(rest[0], 1) / max(total[0], 1))
+    model.drift = min(DRIFT, pooled)
+    # lambda solves: the mean of exp(lambda * score) over clean words is 1; one word of the highest score is added
+    top = max((x for x, _ in model.lexicon.values()), default=1.0)
+    scores = np.array([s or model.drift for y, s, _ in weighed if not y] + [top or 1.0])
+    counts = np.array([n for y, _, n in weighed if not y] + [1], float)
     lo, hi = 1e-6, 50.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if np.exp(np.minimum(mid * hits, 700)).sum() / words + (1 - len(hits) / words) * math.exp(mid * DRIFT) > 1 else (mid, hi)
+        lo, hi = (lo, mid) if (counts * np.exp(np.minimum(mid * scores, 700))).sum() > counts.sum() else (mid, hi)
     model.rate = lo
-    best = [model.rate * max(f) - math.log(max(n, 1)) for _, n, _, f in clean if f]
+
+
+def calibrate(model: Model, rows: list[tuple[int, int, float | None, list[float]]]) -> None:
+    """Sets K from the clean rows (label, words, best segment beyond log words, segments), in units of lambda, and the logistic law from all."""
+    best = [b for y, _, b, _ in rows if not y and b is not None]
     # the mean of a Gumbel law is its place plus Euler's constant; without enough chance segments a usual K is taken
     model.log_k = float(np.mean(best)) - 0.5772156649 if len(best) >= 30 else math.log(0.1)
-    x = np.array([sum(e for s in f if (e := model.rate * s - model.floor(n)) > 0) for _, n, _, f in rows])
+    x = np.array([sum(e for s in f if (e := s - model.floor(n)) > 0) for _, n, _, f in rows])
     y = np.array([r[0] for r in rows], float)
     if len(set(y)) == 2 and x.any():
         model.offset, model.slope = logistic(x, y)
@@ -227,42 +281,48 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.01)
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of each row, score, predicted, n_passages and passages, from the whole text.
+    """The ``keep`` columns of each row, score, predicted and passages, from the whole text.
 
     passages holds every significant segment as (first word, last word, evidence). A null or
     empty text has none and the lowest score. Repeated rows are judged each; an empty table gives
-    an empty table.
+    an empty table. A column to keep can't have the name of one of the three.
     """
-    shape = df.select(*keep).schema
+    made = ["score", "predicted", "passages"]
+    if clash := set(keep) & set(made):
+        raise ValueError(f"columns named like results can't be kept: {', '.join(sorted(clash))}")
+    sent = [*keep] if "text" in keep else [*keep, "text"]  # the text goes to Python once
+    at = sent.index("text")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         scores = Scores(model.lexicon)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [model.passages(t, scores) for t in batch.column(0).to_pylist()]
+            found = [model.passages(t, scores) for t in batch.column(at).to_pylist()]
             total = [model.score(sum(r["evidence"] for r in f)) for f in found]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("evidence", pa.float64())]))
-            made = [pa.array(total, pa.float64()), pa.array([int(s >= 0.5) for s in total], pa.int32()), pa.array(found, kind)]
-            return pa.record_batch([*batch.columns[1:], *made], [*keep, "score", "predicted", "passages"])
+            new = [pa.array(total, pa.float64()), pa.array([int(s >= 0.5) for s in total], pa.int32()), pa.array(found, kind)]
+            return pa.record_batch([*batch.columns[: len(keep)], *new], [*keep, *made])
 
         return step
 
-    # the text goes first and under a name of its own, so that it may also be kept
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
-    return map_rows(df.select(F.col("text").alias("scored text"), *keep), make, f"{fields}, score double, predicted int, passages array<struct<first: int, last: int, evidence: double>>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return map_rows(df.select(*sent), make, f"{fields}, score double, predicted int, passages array<struct<first: int, last: int, evidence: double>>")
 
 
 def sampled(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> DataFrame:
     """(text, toxic) of about ``per_label`` documents of either label, drawn by a hash of the id.
 
-    Only documents whose crc32 of the id mod 5 is not 0 may be learned from.
+    Only documents whose crc32 of the id mod 5 is not 0 may be learned from. An id that many rows
+    have gives about ROWS_PER_ID of its different texts.
     """
     known = labels.where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, per_label / max(1, sizes.get(1, 0))).otherwise(per_label / max(1, sizes.get(0, 0)))
-    few = known.where(place < share)  # bounded by the parameter, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    few = F.broadcast(cut(known.where(place("doc_id") < share)))  # bounded by the parameter, so it may be broadcast
+    rows = F.broadcast(docs.join(few, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    found = docs.select("doc_id", "text").join(few, "doc_id").join(rows, "doc_id").where(place("doc_id", "text") * F.col("rows") < ROWS_PER_ID)
+    return found.groupBy("doc_id", "toxic", F.xxhash64("text")).agg(F.first("text").alias("text")).select("text", "toxic")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
