@@ -24,7 +24,7 @@ SPAN = WINDOW - PHRASE + 1
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 1 << 20
 #: Blocks whose words fall on average to one bucket, which one task holds.
-BLOCKS_A_BUCKET = 32
+BLOCKS_A_BUCKET = 8
 #: An anchor in so many blocks is hot: its windows are dealt out one by one.
 HOT = 64
 #: Lines that one automaton is compiled from, whatever their anchors.
