@@ -11,6 +11,7 @@ from .common import NO_ID, WORD, cut
 BUCKETS = 1024
 #: A per-source plan of at most this many rows (about 10 MB) is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def word_count(text: str = "text") -> Column:
@@ -108,25 +109,25 @@ def mix(
     """Every document with the number of times that the mix takes it.
 
     Adds mix_size (words), mix_source_size, mix_target and mix_copies to the columns of ``df``,
-    which needs doc_id, text and source; other columns may have any other names. A null text has
-    size 0; a null source is one source of its own, last in order; rows that repeat a doc_id are
-    drawn together. An empty table gives an empty table. Runs with one seed agree.
+    which needs doc_id, text and source; other columns may have any names, and those named like
+    the four are replaced. A null text has size 0; a null source is one source of its own, last in
+    order; rows that repeat a doc_id are drawn together. An empty table gives an empty table. Runs
+    with one seed agree.
     """
-    keyed = df.withColumn("mix_size", word_count()).withColumn("mix_draw", draw(seed=seed))
-    sized = cut(keyed.select("source", F.col("mix_size").alias("size"), F.col("mix_draw").alias("draw")))
-    plan = plan_mix(sized, weights, share, max_epochs).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), "whole", "upto",
-    )
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    copies = (F.col("whole") + F.when(F.col("mix_draw") <= F.col("upto"), 1).otherwise(0)).cast("int")
-    out = keyed.join(plan, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    return out.withColumn("mix_copies", copies).drop("mix_source", "mix_draw", "whole", "upto")
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ADDED])
+    keyed = df.select(kept.alias("row"), F.col("source"), word_count().alias("size"), draw(seed=seed).alias("draw"))
+    plan = plan_mix(cut(keyed.select("source", "size", "draw")), weights, share, max_epochs)
+    plan = (F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan).alias("p")
+    copies = F.col("whole") + F.when(F.col("draw") <= F.col("upto"), 1).otherwise(0)
+    out = keyed.alias("d").join(plan, F.col("d.source").eqNullSafe(F.col("p.source")), "left")
+    added = [F.col("size"), F.col("source_size"), F.col("target"), copies.cast("int")]
+    return out.select("row.*", *[c.alias(n) for c, n in zip(added, ADDED, strict=True)])
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as many times as it was taken."""
-    return mixed.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.greatest("mix_copies", F.lit(1))))).where("mix_copies > 0").select(columns)
+    """The mix itself: each document as many times as it was taken, with ``columns``."""
+    taken = mixed.where("mix_copies > 0").select(F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return taken.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
