@@ -421,3 +421,15 @@ def test_secrets_of_assignments_and_of_other_alphabets(spark):
     docs = spark.createDataFrame([(t,) for t in [*hidden, *shown]], "text string")
     got = {r["text"]: r["shown"] for r in secrets.scan(docs).select("text", secrets.redacted().alias("shown")).collect()}
     assert got == {t: t.replace(v, secrets.MARK) for t, v in hidden.items()} | {t: t for t in shown}
+
+
+def test_mix_takes_tables_with_any_other_columns(spark):
+    from stridemark.llm import mixing
+
+    names = ["doc_id", "text", "source", "whole", "upto", "size", "draw", "target", "row", "mix_source", "mix_size", "p", "d"]
+    df = spark.createDataFrame([(i, "a b c", "s", *["kept"] * 10) for i in range(6)], names)
+    mixed = mixing.mix(df)
+    assert mixed.columns == [n for n in names if n != "mix_size"] + list(mixing.ADDED)
+    rows = mixing.repeat(mixed, names).collect()
+    assert len(rows) == 9 and {x["whole"] for x in rows} == {"kept"} and {x["mix_size"] for x in rows} == {3}
+    assert mixing.repeat(mixing.mix(df.where("false")), names).count() == 0
