@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import marshal
 import os
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +28,8 @@ WINDOW, MASK = 16, np.uint32(1023)
 SHORTEST, LONGEST = 256, 8192
 #: Characters beside a join that are encoded anew at first, and what that grows by until both sides agree.
 NEAR, FURTHER = 64, 4
+#: Bytes of texts that are packed together for one task, and that a task holds for all of them.
+PACKED, HELD = 1 << 18, 1 << 25
 #: Restarts at either end of a shared chunk that travel with its ids.
 ENDS = 48
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,10 +88,11 @@ class Encoder:
     """Ids by the tokenizers library, with a bounded memo.
 
     Where the library itself splits at white space and drops it, which ``at_white_space`` tries out
-    on each file, the memo holds runs between white space; else whole texts go to the library.
+    on each file, the memo holds runs between white space; else whole texts go to the library. New
+    runs of letters go to the library's model at once, past its slow splitting, see ``Letters``.
     """
 
-    MEMO = 100_000
+    MEMO = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,40 +103,49 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokens = token_texts(path)
         self.runs = at_white_space(self.tokenizer)
+        self.letters = Letters(self.tokenizer) if self.runs else None
         # two generations: what is used while the younger one fills stays
-        self.young: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def looked_up(self, runs: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """(ids, decoded) of each run; holds these runs at least."""
+    def looked_up(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each run; holds these runs at least."""
         if len(self.young) > self.MEMO:
             self.old, self.young = self.young, {}
         young = self.young
-        long = []
+        new = []
         for r in runs - young.keys():
             if (known := self.old.get(r)) is not None:
                 young[r] = known
             else:
-                long.append(r)
-        for at in range(0, len(long), 4096):
-            some = long[at : at + 4096]
+                new.append(r)
+        self.long += [r for r in new if len(r) > 64]
+        rest = []
+        for r in new:
+            if (ids := self.letters(r.decode("utf-8", "replace"))) is None:
+                rest.append(r)
+            else:
+                young[r] = ids
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for r, ids in zip(some, self.library([r.decode("utf-8", "replace") for r in some]), strict=True):
-                young[r] = np.array(ids, "<u4").tobytes(), self.decoded(ids).encode()
+                young[r] = np.array(ids, "<u4").tobytes()
         return young
 
     def forget(self) -> None:
         """Long runs are not worth remembering."""
-        for r in [r for r in self.young if len(r) > 64]:
-            del self.young[r]
+        for r in self.long:
+            self.young.pop(r, None)
+        self.long = []
 
-    def whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(little-endian unsigned 32-bit ids, decoded text) of each text."""
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if not self.runs:
-            got = self.library([t.decode("utf-8", "replace") for t in texts])
-            return [(np.array(ids, "<u4").tobytes(), self.decoded(ids).encode()) for ids in got]
+            return [np.array(ids, "<u4").tobytes() for ids in self.library([t.decode("utf-8", "replace") for t in texts])]
         out = []
         at = 0
         while at < len(texts):
@@ -141,9 +155,7 @@ class Encoder:
                 size += len(texts[at])
                 at += 1
             memo = self.looked_up(set().union(*split))
-            for runs in split:
-                got = [memo[r] for r in runs]
-                out.append((b"".join([i for i, _ in got]), b" ".join([d for _, d in got if d])))
+            out += [b"".join([memo[r] for r in runs]) for runs in split]
             self.forget()
         return out
 
@@ -154,7 +166,7 @@ class Encoder:
             ids: list[int] = []
             starts, counts = [], []
             for at, r in found:
-                if own := memo[r][0]:
+                if own := memo[r]:
                     starts.append(at)
                     counts.append(len(ids))
                     ids += np.frombuffer(own, "<u4").tolist()
@@ -171,6 +183,83 @@ class Encoder:
         return " ".join([self.tokens[i] for i in ids])
 
 
+class Letters:
+    """Ids of a run of letters, with punctuation after it or not, without the library's splitting.
+
+    The library's normalizer and splitter are tried on each letter and each pair of neighbours that
+    turn up: where pairs come out as their letters do, one by one and unsplit, so does the run, and
+    the model gets it as one piece. Every 64th run is encoded by the library too; if one ever
+    differs, the job fails rather than go on. None for other runs.
+    """
+
+    SHAPE = re.compile(r"([^\W\d_]+)([.,;:!?)]*)\Z")
+    #: Letters of which all pairs are tried beforehand.
+    COMMON = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))]
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.one: dict[str, str] = {}
+        self.table: dict[int, str] = {}
+        self.fits: dict[str, bool] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.seen = 0
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.open = tokenizer.normalizer is not None and not any(self.SHAPE.match(t) for t in special)
+        common = [a for a in self.COMMON if self.open and self.fit(a + a) and self.fit("a" + a)]
+        common = [a for a in common if all(self.fits[a + b] if a + b in self.fits else self.fit(a + b) for b in common)]
+        self.common = re.compile(rf"([{''.join(common)}]+)([.,;:!?)]*)\Z") if common else self.SHAPE
+
+    def pieces(self, text: str) -> list[str]:
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+
+    def fit(self, pair: str) -> bool:
+        """Whether two letters become one piece of what each becomes alone."""
+        for c in pair:
+            if c not in self.one:
+                alone = self.pieces(c)
+                self.one[c] = self.table[ord(c)] = alone[0] if len(alone) == 1 else ""
+        a, b = (self.one[c] for c in pair)
+        self.fits[pair] = bool(a and b) and self.pieces(pair) == [a + b]
+        return self.fits[pair]
+
+    def splits(self, pair: str) -> bool:
+        """Whether punctuation after a letter is a piece of its own."""
+        self.fits[pair] = self.pieces(pair) == [p for c in pair for p in self.pieces(c)] and len(self.pieces(pair)) == 2
+        return self.fits[pair]
+
+    def __call__(self, run: str) -> bytes | None:
+        if not self.open:
+            return None
+        fits = self.fits
+        if (m := self.common.match(run)) is not None:
+            word, tail = m.groups()
+        elif (m := self.SHAPE.match(run)) is not None:
+            word, tail = m.groups()
+            for pair in map(str.__add__, word, word[1:] or word):
+                if not (fits[pair] if pair in fits else self.fit(pair)):
+                    return None
+        else:
+            return None
+        ids = [t.id for t in self.model.tokenize(word.translate(self.table))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if tail:
+            pair = word[-1] + tail[0]
+            if not (fits[pair] if pair in fits else self.splits(pair)):
+                return None
+            if (end := self.tails.get(tail)) is None:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                end = self.tails[tail] = self.by_library(tail)
+            out += end
+        self.seen += 1
+        if self.seen % 64 == 0 and out != self.by_library(run):
+            raise ValueError(f"the tokenizer does not split {run!r} as its pairs of letters")
+        return out
+
+    def by_library(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for a Python worker, whatever tasks it runs."""
@@ -283,14 +372,14 @@ class Output:
         self.parts.append(ids)
 
     def row(self) -> tuple:
-        ids = b"".join(self.parts)
-        return finished(ids, self.enc.decoded(np.frombuffer(ids, "<u4").tolist()).encode(), self.real)
+        return finished(b"".join(self.parts), self.enc, self.real)
 
 
-def finished(ids: bytes, text: bytes, real: bool) -> tuple:
+def finished(ids: bytes, enc: Encoder, real: bool) -> tuple:
+    text = enc.decoded(np.frombuffer(ids, "<u4").tolist())
     if real:
-        return len(ids) // 4, ids, text.decode()
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+        return len(ids) // 4, ids, text
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 def columns_of(real: bool) -> tuple[list[str], str, list[pa.DataType]]:
@@ -338,21 +427,62 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
     known = join_hot(held, lambda: F.col("chunk") == F.col("c"), hot, cold).groupBy("key").agg(F.collect_list(F.struct("chunk", "owner")).alias("shared"))
     known = texts.select("key", "owner_id").join(known, "key", "left").select(F.col("key").alias("k"), "owner_id", "shared")
 
-    def pack() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            t = batch.column(1).to_pylist()
-            return pa.record_batch([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in t], pa.binary()), pa.array([press(x) for x in t], pa.binary())], ["doc_id", "key", "z"])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # by key and id, so that the copies of one text don't meet in one task
+    known = known.withColumn("task", (F.xxhash64(F.concat("k", F.col("owner_id").cast("binary"))).bitwiseAND(F.lit(0x7FFFFFFF)) % n).cast("int"))
 
-        return step
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (task, z) of many texts, with their keys and ids, for each task that they are dealt to."""
+        press = zstandard.ZstdCompressor(level=3).compress
+        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        sizes: dict[int, int] = {}
 
-    packed = map_rows(rows, pack, f"doc_id {kind}, key binary, z binary").withColumn("rid", rid)
+        def packed(tasks: list[int]) -> pa.RecordBatch:
+            z = [press(marshal.dumps(held.pop(t))) for t in tasks]
+            for t in tasks:
+                del sizes[t]
+            return pa.record_batch([pa.array(tasks, pa.int32()), pa.array(z, pa.binary())], ["task", "z"])
 
-    def of_owners(wanted: DataFrame) -> DataFrame:
-        # by key and id, so that the copies of one text don't meet in one task
-        found = packed.join(wanted, (F.col("key") == F.col("k")) & (F.col("rid") == F.col("owner_id")))
-        return found.dropDuplicates(["key", "rid"]).select("key", "z", "shared")
+        total = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    key = xxhash.xxh3_128_digest(t)
+                    to = (xxhash.xxh64_intdigest(key + i, 42) & 0x7FFFFFFF) % n
+                    held.setdefault(to, []).append((key, i, t))
+                    sizes[to] = sizes.get(to, 0) + len(t) + 64
+                    total += len(t) + 64
+                    if sizes[to] >= PACKED:
+                        total -= sizes[to]
+                        yield packed([to])
+                    elif total >= HELD:
+                        total = 0
+                        yield packed(list(held))
+        if held:
+            yield packed(list(held))
+
+    packed = rows.select(rid.cast("binary").alias("rid"), "text").mapInArrow(pack, "task int, z binary")
+
+    def of_owners(wanted: DataFrame, make: Callable[[], Callable[[list[tuple]], pa.RecordBatch | None]], shape: str) -> DataFrame:
+        """What ``make`` returns for lists of (key, text, shared) of the rows of ``wanted``, once each."""
+        asked = wanted.select("task", F.lit(0).alias("kind"), "k", F.col("owner_id").cast("binary").alias("rid"), "shared", F.lit(None).cast("binary").alias("z"))
+        texts_ = packed.select("task", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("k"), F.lit(None).cast("binary").alias("rid"), F.lit(None).cast(dict(wanted.dtypes)["shared"]).alias("shared"), "z")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step, unpack = make(), zstandard.ZstdDecompressor().decompress
+            asked: dict[tuple[bytes, bytes], list | None] = {}
+            for batch in batches:
+                kinds = batch.column(1).to_pylist()
+                k, i, shared_, z = (batch.column(c) for c in (2, 3, 4, 5))
+                for at in range(batch.num_rows):
+                    if kinds[at] == 0:
+                        asked[k[at].as_py(), i[at].as_py()] = shared_[at].as_py()
+                        continue
+                    todo = [(key, t, asked.pop((key, own))) for key, own, t in marshal.loads(unpack(z[at].as_py())) if (key, own) in asked]
+                    if todo and (out := step(todo)) is not None:
+                        yield out
+
+        return asked.unionByName(texts_).repartitionById(n, F.col("task")).sortWithinPartitions("task", "kind").mapInArrow(run, shape)
 
     part = "array<struct<chunk: binary, ids: binary, from: int, to: int>>"
     fields = f"kind int, key binary, {shape}, ids_of binary, starts binary, counts binary, parts {part}"
@@ -360,15 +490,14 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
     made_type = pa.schema([("kind", pa.int32()), ("key", pa.binary()), *zip(names, kinds, strict=True), ("ids_of", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("parts", part_type)])
     pressed = lambda x: np.array(x, "<u4").tobytes()
 
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        enc, unpack = encoder(path), zstandard.ZstdDecompressor().decompress
+    def work() -> Callable[[list[tuple]], pa.RecordBatch | None]:
+        enc = encoder(path)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def step(todo: list[tuple]) -> pa.RecordBatch | None:
             out: list[tuple] = []
             plain: list[tuple[bytes, bytes]] = []
-            for key, z, shared_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text, shared_ in todo:
                 owners = {r["chunk"]: r["owner"] for r in shared_ or ()}
-                text = unpack(z)
                 plan = None
                 if owners:
                     segments = [(c.decode("utf-8", "replace"), i if (i := chunk_id(c)) in owners else None) for c in chunks(text)]
@@ -383,12 +512,12 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
                 else:
                     parts = [{"chunk": c, "ids": pressed(ids), "from": a, "to": b} for c, ids, a, b in plan if c is not None or ids]
                     out.append((2, key, *[None] * 6, parts))
-            out += [(0, key, *finished(*got, real), *[None] * 4) for (key, _), got in zip(plain, enc.whole([t for _, t in plain]), strict=True)]
+            out += [(0, key, *finished(got, enc, real), *[None] * 4) for (key, _), got in zip(plain, enc.whole([t for _, t in plain]), strict=True)]
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), made_type, strict=True)], schema=made_type) if out else None
 
         return step
 
-    made = cut(map_rows(of_owners(known), work, fields, rows=512))
+    made = cut(of_owners(known, work, fields))
     published = made.where("kind = 1").select(F.col("key").alias("chunk"), F.col("ids_of").alias("ids"), "starts", "counts")
     published = published.join(shared.select("chunk", "n"), "chunk").withColumnRenamed("chunk", "c")
     waiting = made.where("kind = 2").select("key", F.posexplode("parts").alias("place", "part")).select("key", "place", "part.*")
@@ -396,7 +525,6 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
     wanted = waiting.where("chunk is not null").drop("ids")
     filled = join_hot(wanted, lambda: F.col("chunk") == F.col("c"), hot, cold).select("key", "place", "from", "to", "ids", "starts", "counts")
     own = waiting.where("chunk is null").select("key", "place", "from", "to", "ids", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("counts"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filled = filled.unionByName(own).repartition(n, "key").sortWithinPartitions("key", "place")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,18 +560,17 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
     failed = late.where("n_tokens is null").select("key")
     if not failed.isEmpty():
 
-        def again() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-            enc, unpack = encoder(path), zstandard.ZstdDecompressor().decompress
+        def again() -> Callable[[list[tuple]], pa.RecordBatch]:
+            enc = encoder(path)
 
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                got = enc.whole([unpack(z) for z in batch.column(1).to_pylist()])
-                out = zip(*[finished(*x, real) for x in got], strict=True)
-                return pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["key", *names])
+            def step(todo: list[tuple]) -> pa.RecordBatch:
+                out = zip(*[finished(x, enc, real) for x in enc.whole([t for _, t, _ in todo])], strict=True)
+                return pa.record_batch([pa.array([k for k, _, _ in todo], pa.binary()), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["key", *names])
 
             return step
 
-        wanted = texts.join(failed, "key").select(F.col("key").alias("k"), "owner_id", F.lit(None).alias("shared"))
-        done = done.unionByName(map_rows(of_owners(wanted), again, f"key binary, {shape}"))
+        wanted = known.join(failed.withColumnRenamed("key", "k"), "k", "left_semi")
+        done = done.unionByName(of_owners(wanted, again, f"key binary, {shape}"))
     done = done.join(texts.select("key", "n"), "key").withColumnRenamed("key", "k")
     hot, cold = split_hot(done, sizes["rows"])
     return join_hot(seen.select("doc_id", "key"), lambda: F.col("key") == F.col("k"), hot, cold).select("doc_id", *names)
