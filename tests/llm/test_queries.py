@@ -251,15 +251,18 @@ def test_op10_secrets(spark, folder, rows):
     model, pattern = secrets.trained(), re.compile(secrets.CANDIDATE)
     expected = Counter()
     for i, t, _, _ in rows:
+        t = t or ""
         kept, at, n, found = "", 0, 0, []
-        for m in pattern.finditer(t or ""):
+        held = list(pattern.finditer(t))
+        for m, then in zip(held, [*held[1:], None], strict=False):
             n += 1
-            secret = forest.probability(model, np.array(secrets.feature_row(m[0], t[at : m.start()]))) >= 0.5
+            row = secrets.feature_row(m[0], t[at : m.start()], t[m.end() : then and then.start()])
+            secret = forest.probability(model, np.array(row)) >= 0.5
             kept += t[at : m.start()] + (secrets.MARK if secret else m[0])
             found += [sha(m[0])] * secret
             at = m.end()
-        expected[i, n, len(found), tuple(found), sha(kept + (t or "")[at:])] += 1
+        expected[i, n, len(found), tuple(found), sha(kept + t[at:])] += 1
     got = registry.queries()["op10_secrets"](spark, folder).collect()
-    assert Counter((r["doc_id"], r["n_candidates"], max(0, r["n_secrets"] or 0), tuple(r["secret_sha256s"] or ()), r["redacted_sha256"]) for r in got) == expected
+    assert Counter((r["doc_id"], r["n_candidates"], r["n_secrets"], tuple(r["secret_sha256s"]), r["redacted_sha256"]) for r in got) == expected
     planted = sum('token = "' in (t or "") for _, t, _, _ in rows)
     assert sum(len(k[3]) * n for k, n in expected.items()) == planted > 5
