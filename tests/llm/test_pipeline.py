@@ -77,3 +77,18 @@ def test_rows_without_an_id_or_that_repeat_one_stay_by_their_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r["text"] for r in simhash.one_of_each(df, ["doc_id", "text"]).collect())
     assert got == sorted(texts)
+
+
+def test_stages_stand_empty_tables_and_other_columns(spark, nothing, folder):
+    docs = spark.read.parquet(f"{nothing}/documents.parquet")
+    assert len(docs.columns) > len(corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, nothing)
+        assert docs.count() == 0
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+    # rows, but no label that may be learned from
+    few = spark.createDataFrame([(1, None, None, None, None), (None, "", "x", None, 0), (1, "a b", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_toxic(spark, few, nothing).count() == 3
+    assert sorted(str(r["text"]) for r in corpus_pipeline.drop_near_copies(spark, few, nothing).collect()) in (["", "a b"], ["None", "a b"])
+    assert {r["text"] for r in corpus_pipeline.hide_secrets(spark, few, nothing).collect()} == {None, "", "a b"}
+    assert corpus_pipeline.encode(spark, few, nothing).count() == 3
