@@ -28,11 +28,17 @@ def chunked_syncmers(df: DataFrame, p: Params, keys: list[str] | None = None, si
     For modes whose result doesn't depend on bases outside of the k-mer: not compat_rolling, and
     not approx16, which depends on the sequence's length.
     """
-    if p.ambiguous == "compat_rolling" or p.approx16:
-        raise ValueError("compat_rolling and approx16 depend on the whole sequence")
     keys = keys or ["seq_id"]
     cut = chunks(df.select(*keys, seq), p.k, size, seq)
     if spread:
         cut = cut.repartition(spread, *keys, "offset")
-    found = sketch.syncmers(cut, p, [*keys, "offset"], seq)
+    return syncmers_of_chunks(cut, p, keys, seq)
+
+
+def syncmers_of_chunks(cut: DataFrame, p: Params, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """As ``sketch.syncmers``, from chunks (keys, offset, seq) that overlap by k - 1 bases, of a table or of a file."""
+    keys = keys or ["seq_id"]
+    if p.ambiguous == "compat_rolling" or p.approx16 or p.skip_last:
+        raise ValueError("compat_rolling, approx16 and skip_last depend on the whole sequence")
+    found = sketch.syncmers(cut.select(*keys, "offset", seq), p, [*keys, "offset"], seq)
     return found.select(*keys, (F.col("pos") + F.col("offset")).alias("pos"), "strand", "hash", (F.col("smer_pos") + F.col("offset")).alias("smer_pos"), "at_start")

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stridemark.functions import dna
 from stridemark.operators import kernel
 from stridemark.params import Params
 
-#: Bases that the kernel takes at a time (more only for one longer sequence).
-CHUNK = 1 << 20
+#: Bases that go to the kernel at a time (more only for one longer sequence).
+CHUNK = 1 << 18
 
 
 def ship(df: DataFrame) -> None:
@@ -75,12 +76,8 @@ def smers(df: DataFrame, p: Params, keys: list[str] | None = None, seq: str = "s
         a = kernel.smers(seqs, p)
         if a is None:
             return np.zeros(0, np.int64), {}
-        n = len(a.hash)
-        take = np.arange(n) + p.s <= a.end
-        if p.ambiguous == "skip":
-            take &= a.other[p.s : p.s + n] == a.other[:n]
-        at = np.flatnonzero(take)
-        return a.seq[at], {"pos": pa.array(at - a.start[at]), "hash": hash_array(p, a.hash[at], None if a.high is None else a.high[at]), "strand": pa.array(a.strand[at].astype(np.int32))}
+        at, number, pos = a.within(np.arange(len(a.hash)), p.s)
+        return number, {"pos": pa.array(pos), "hash": hash_array(p, a.hash[at], None if a.high is None else a.high[at]), "strand": pa.array(a.strand(at).astype(np.int32))}
 
     return over_sequences(df, keys, seq, make, f"pos long, hash {hash_type(p)}, strand int")
 
@@ -104,9 +101,7 @@ def counts(df: DataFrame, p: Params, keys: list[str] | None = None, seq: str = "
     keys = keys or ["seq_id"]
 
     def make(seqs: list[bytes]) -> tuple[np.ndarray, dict[str, pa.Array]]:
-        f = kernel.syncmers(seqs, p)
-        n = np.bincount(f.seq, minlength=len(seqs))
-        rc = np.bincount(f.seq, weights=f.strand, minlength=len(seqs)).astype(np.int64)
+        n, rc = kernel.counts(seqs, p)
         kmers = np.maximum(np.array([len(s) for s in seqs]) - p.k + 1, 0)
         return np.arange(len(seqs)), {"n_syncmers": pa.array(n), "n_kmers": pa.array(kmers), "n_fw": pa.array(n - rc), "n_rc": pa.array(rc)}
 
@@ -137,20 +132,17 @@ def window_minima(df: DataFrame, p: Params, keys: list[str] | None = None, seq:
         if a is None or len(a.hash) < p.w:
             return np.zeros(0, np.int64), {}
         low = kernel.sliding_min(a.hash, p.w)
-        n = len(low)
-        take = np.arange(n) + p.k <= a.end[:n]
-        if p.ambiguous == "skip":
-            take &= a.other[p.k : p.k + n] == a.other[:n]
-        at = np.flatnonzero(take)
-        return a.seq[at], {"pos": pa.array(at - a.start[at]), "min_hash": hash_array(p, low[at], None)}
+        at, number, pos = a.within(np.arange(len(low)), p.k)
+        return number, {"pos": pa.array(pos), "min_hash": hash_array(p, low[at], None)}
 
     return over_sequences(df, keys, seq, make, "pos long, min_hash long")
 
 
-def syncmers_from_smers(df: DataFrame, w: int, keys: list[str] | None = None) -> DataFrame:
-    """Closed syncmers (keys, pos) from a table of all s-mers (keys, pos, hash): the window pass on its own.
+def syncmers_from_smers(df: DataFrame, w: int, keys: list[str] | None = None, bits: int = 32) -> DataFrame:
+    """Closed syncmers (keys, pos) from a table of s-mers (keys, pos, hash): the window pass on its own.
 
-    ``hash`` sorts as it is stored, so 64-bit hashes are to be flipped before.
+    Hashes are of 32, 64 or 128 bits as ``smers`` gives them. A window counts if it has all its w
+    s-mers: where some were dropped, as with ambiguous letters, there is none.
     """
     from pyspark.sql.window import Window
 
@@ -158,6 +150,10 @@ def syncmers_from_smers(df: DataFrame, w: int, keys: list[str] | None = None) ->
     if w < 2:
         raise ValueError("w >= 2 is needed")
     order = Window.partitionBy(*keys).orderBy("pos")
-    end = F.lead("hash", w - 1).over(order)
-    rest, front = F.min("hash").over(order.rowsBetween(1, w - 1)), F.min("hash").over(order.rowsBetween(0, w - 2))
-    return df.withColumn("end", end).withColumn("rest", rest).withColumn("front", front).where("end is not null and (hash <= rest or end < front)").select(*keys, "pos")
+    ahead, behind = order.rowsBetween(1, w - 1), order.rowsBetween(0, w - 2)
+    rank = dna.ordered(F.col("hash")) if bits == 64 else F.col("hash")
+    found = df.select(*keys, "pos", rank.alias("rank")).select(
+        *keys, "pos", "rank", F.lead("rank", w - 1).over(order).alias("end"), F.lead("pos", w - 1).over(order).alias("end_pos"),
+        F.min("rank").over(ahead).alias("rest"), F.min("rank").over(behind).alias("front"),
+    )
+    return found.where(f"end_pos = pos + {w - 1} and (rank <= rest or end < front)").select(*keys, "pos")

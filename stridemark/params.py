@@ -22,6 +22,8 @@ class Params:
     ambiguous: what other letters than acgt (any case) are: "skip" drops every k-mer with one,
         "as_a" and "as_g" read them as that base, "zero" lets them add nothing, and
         "compat_rolling" lets them enter a rolling hash as nothing and leave it as an a.
+    track_strand: False gives strand 0 for all.
+    skip_last: the k-mer that ends a sequence is not tested, so a sequence of k bases has none.
     """
 
     k: int
@@ -35,6 +37,8 @@ class Params:
     hash: str = "rotate"
     factor: int = 0x9E3779B97F4A7C15
     ambiguous: str = "skip"
+    track_strand: bool = True
+    skip_last: bool = False
 
     def __post_init__(self):
         if not 1 <= self.s < self.k:
