@@ -132,7 +132,8 @@ def _closed(p: Params, letters: str) -> str:
     run = "PARTITION BY doc_id ORDER BY pos"
     first, last = ("rank <= rest", "tail < front") if p.tie == "left" else ("rank < rest", "tail <= front")
     skip = "AND end_bad = bad_before" if p.ambiguous == "skip" else ""
-    hashed = "CAST(0 AS BIGINT)" if p.bits == 128 else _signed(p, f"CASE WHEN {first} THEN hash ELSE end_hash END")
+    # 128 bits are what is compared, as 32 hex digits
+    hashed = f"lpad(hex(CASE WHEN {first} THEN rank ELSE tail END), 32, '0')" if p.bits == 128 else _signed(p, f"CASE WHEN {first} THEN hash ELSE end_hash END")
     return (
         f"{_hashes(p, letters)}, w AS (SELECT *, lead(rank, {w - 1}) OVER ({run}) AS tail, lead(hash, {w - 1}) OVER ({run}) AS end_hash, "
         f"lead(strand, {w - 1}) OVER ({run}) AS end_strand, lead(bad, {w - 1}) OVER ({run}) AS end_bad, "
@@ -148,6 +149,21 @@ def syncmers(p: Params, columns: str, letters: str = "acgt") -> str:
     return f"WITH {_closed(p, letters)} SELECT doc_id, {columns} FROM o"
 
 
+def skip_last(p: Params) -> str:
+    return f"WITH {_closed(p, 'acgt')} SELECT o.doc_id, pos FROM o JOIN s ON o.doc_id = s.doc_id WHERE pos + {p.k} < length(seq)"
+
+
+def xor(p: Params) -> str:
+    return f"WITH {_hashes(p, 'acgt')}, o AS (SELECT doc_id, {_signed(p)} AS hash FROM h) SELECT doc_id, bit_xor(hash) AS hashes FROM o GROUP BY doc_id"
+
+
+FASTA = f"WITH {_seqs()} SELECT doc_id, 'a document' AS description, seq FROM s WHERE seq IS NOT NULL AND doc_id IS NOT NULL"
+
+CONCATENATED = f"WITH {_seqs()} SELECT string_agg(seq, '' ORDER BY doc_id) AS seq FROM s WHERE length(seq) BETWEEN 1 AND 200 AND doc_id IS NOT NULL"
+
+FASTQ = f"WITH {_seqs()} SELECT doc_id, seq, CAST(length(seq) AS INTEGER) AS n_qual FROM s WHERE seq IS NOT NULL AND doc_id IS NOT NULL"
+
+
 def count(p: Params) -> str:
     return f"WITH {_closed(p, 'acgt')} SELECT d.doc_id, count(o.pos) AS n FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id"
 

@@ -32,7 +32,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.ENTRIES if n != "syncmers_stream"])
+@pytest.mark.parametrize("name", list(catalog.ENTRIES))
 def test_query_equals_its_sql(spark, folder, duck, name):
     got = catalog.queries()[name](spark, folder)
     expected = duck.sql(catalog.oracle_sql()[name])
@@ -44,9 +44,15 @@ def test_query_equals_its_sql(spark, folder, duck, name):
 
 
 def test_works_without_the_corpus_operators(tmp_path):
-    for x in ("__spark_entry__.py", "stridemark"):
+    """With the corpus folders and the pipeline gone the rest imports, and its other tests can be collected."""
+    for x in ("__spark_entry__.py", "corpus_pipeline.py", "stridemark", "tests"):
         (shutil.copytree if (ROOT / x).is_dir() else shutil.copy)(ROOT / x, tmp_path / x)
-    shutil.rmtree(tmp_path / "stridemark" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and set(q) == set(e.oracle_sql())"
+    for gone in ("stridemark/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / gone, ignore_errors=True)
+    (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q) and set(q) == set(e.oracle_sql())"
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True).returncode == 0
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_kernel.py"], cwd=tmp_path, env=env, capture_output=True)
+    assert run.returncode == 0, run.stdout
+    assert subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=tmp_path, env=env, capture_output=True).returncode == 0
