@@ -118,7 +118,9 @@ class Encoder:
             self.old, self.young = self.young, {}
         young = self.young
         new = []
-        for r in runs - young.keys():
+        for r in runs:
+            if r in young:
+                continue
             if (known := self.old.get(r)) is not None:
                 young[r] = known
             else:
