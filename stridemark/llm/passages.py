@@ -442,3 +442,18 @@ def _run(df: DataFrame, finish: Callable, columns: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return _run(table(spark, sf_dir, "documents").select("doc_id", "text"), _digest, "n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (SELECT r, id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+k AS (SELECT r, id, p, array_to_string(w[p:p + 12], ' ') AS k FROM s),
+a AS (SELECT k, min(id) AS least FROM k GROUP BY k),
+c AS (SELECT DISTINCT r, p + j AS p FROM k JOIN a USING (k) CROSS JOIN (SELECT unnest(range(0, 13)) AS j) WHERE least < id),
+t AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""

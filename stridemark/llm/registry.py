@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
+    return {"op1_substring_dedup": passages.ORACLE, "op7_mixing": mixing.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
