@@ -37,3 +37,39 @@ def syncmers(seq, k, s, bits=32, canonical=False, approx16=False, tie="left"):
         if at in (0, w - 1):
             out.append((i, h[i + at][1]))
     return out
+
+
+def rolling(seq, s, bits):
+    """(forward, reverse) hashes of a rolling hash that ambiguous letters enter as nothing and leave as an a.
+
+    Of the reverse hashes, that of 32 bits reads them as an a at both ends; that of 64 bits lets them
+    enter as nothing in the first window, later as an a, and leave as nothing.
+    """
+    mask, out = (1 << bits) - 1, []
+    fwd = lambda c: SEED.get(c, 0) & mask
+    rev = lambda c: SEED[OTHER[c]] & mask if c in OTHER else 0
+    as_a = lambda c: c if c in SEED else "a"
+    fw = rc = 0
+    for i, c in enumerate(seq):
+        left = seq[i - s] if i >= s else None
+        if left is not None:
+            fw ^= rotl(fwd(as_a(left)), 7 * (s - 1), bits)
+        fw = rotl(fw, 7, bits) ^ fwd(c)
+        enters = rev(as_a(c)) if bits == 32 or i >= s else rev(c)
+        leaves = 0 if left is None else rev(as_a(left)) if bits == 32 else rev(left)
+        if i < s:
+            rc ^= rotl(enters, 7 * i, bits)
+        else:
+            rc = rotl(rc ^ leaves, bits - 7, bits) ^ rotl(enters, 7 * (s - 1), bits)
+        if i >= s - 1:
+            out.append((fw, rc))
+    return out
+
+
+def wide(seq, s):
+    """128-bit hashes: the 64-bit canonical hash, below the second of the published multi-hash."""
+    out = []
+    for h, _ in hashes(seq, s, 64, True):
+        second = h * (1 ^ s * 0x90B45D39FB6DA1FA) & (1 << 64) - 1
+        out.append((second ^ second >> 27) << 64 | h)
+    return out

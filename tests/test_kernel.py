@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from naive import hashes, syncmers
+from naive import hashes, rolling, syncmers, wide
 
 from stridemark.operators import kernel
 from stridemark.params import Params
@@ -119,11 +119,36 @@ def test_multiplied_hash():
     assert kernel.smers([b"ACGU" * 9], Params(15, s, hash="multiply")).hash.tolist() == kernel.smers([b"acgt" * 9], Params(15, s, hash="multiply")).hash.tolist()
 
 
+@pytest.mark.parametrize("bits", [32, 64])
+@pytest.mark.parametrize("canonical", [False, True])
+def test_rolling_compatibility_on_both_strands(bits, canonical):
+    r = random.Random(16)
+    for _ in range(60):
+        seq, s = "".join(r.choice("acgtnacgt") for _ in range(r.randint(9, 90))), r.choice([3, 7, 9])
+        want = rolling(seq, s, bits)
+        a = kernel.smers([b"ac", seq.encode()], Params(s + 4, s, bits=bits, canonical=canonical, ambiguous="compat_rolling"))
+        assert a.hash[2:].tolist() == [min(x) if canonical else x[0] for x in want]
+        assert a.strand(np.arange(len(a.hash)))[2:].tolist() == [int(canonical and x[0] > x[1]) for x in want]
+
+
 def test_wide_hashes_sort_by_their_upper_half():
     seq = "".join(random.Random(9).choices("acgt", k=500))
-    a = kernel.smers([seq.encode()], Params(31, 15, bits=128))
-    wide = [(int(x) << 64) | int(y) for x, y in zip(a.high, a.hash, strict=True)]
-    assert np.argsort(a.rank, kind="stable").tolist() == sorted(range(len(wide)), key=lambda i: (wide[i], i))
+    a = kernel.smers([seq.encode()], Params(31, 15, bits=128, canonical=True))
+    got = [(int(x) << 64) | int(y) for x, y in zip(a.high, a.hash, strict=True)]
+    assert got == wide(seq, 15)
+    assert np.argsort(a.rank, kind="stable").tolist() == sorted(range(len(got)), key=lambda i: (got[i], i))
+
+
+@pytest.mark.parametrize("p", [Params(31, 15), Params(21, 11, canonical=True, bits=64), Params(31, 15, approx16=True), Params(31, 15, skip_last=True), Params(31, 15, bits=128)])
+def test_pieces_of_long_sequences_add_up(monkeypatch, p):
+    r = random.Random(11)
+    seqs = ["".join(r.choice("acgt" * 20 + "n") for _ in range(n)).encode() for n in (10, 3000, 90, 5000, 0, 1024, 2048 + 30)]
+    whole, n = kernel.syncmers(seqs, p), kernel.counts(seqs, p)
+    monkeypatch.setattr(kernel, "PIECE", 512)
+    cut = kernel.syncmers(seqs, p)
+    for x in ("seq", "pos", "strand", "hash", "smer", "at_start"):
+        assert (getattr(cut, x) == getattr(whole, x)).all() and len(cut.pos) > 300
+    assert all((x == y).all() for x, y in zip(kernel.counts(seqs, p), n, strict=True)) and n[0].sum() == len(whole.pos) and n[1].sum() == whole.strand.sum()
 
 
 def test_density_is_about_two_of_a_window():
