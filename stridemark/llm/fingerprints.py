@@ -21,8 +21,8 @@ K, S = 16, 6
 ANCHORS = 64
 #: Code points that the kernel takes at a time (more only for one longer text).
 CHUNK = 400_000
-#: Ids sampled for each bucket to find its bounds.
-SAMPLES = 50
+#: Ids sampled for each bucket to find its bounds, rows of a bucket, about, and buckets at most unless the session asks for more.
+SAMPLES, ROWS, MOST = 50, 4000, 20_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -162,8 +162,8 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"), F.count(key).alias("known")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST, ids["n"] // ROWS))
     share = buckets * SAMPLES / max(1, ids["n"])
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30)
     # a bounded sample of ids, whatever the size of the table
@@ -241,7 +241,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id") -> DataFrame:
         return pa.record_batch(list(columns.values()), list(columns))
 
     packed = df.selectExpr(f"cast({key} as long) as {key}", "cast(text as binary) as text").mapInArrow(pack, f"bucket int, halo int, {key} long, z binary")
-    dealt = packed.repartition(top + 1, "bucket").sortWithinPartitions("bucket", "halo", F.col(key).asc_nulls_first(), "z")
+    dealt = packed.repartitionById(top + 1, F.col("bucket")).sortWithinPartitions("bucket", "halo", F.col(key).asc_nulls_first(), "z")
     return dealt.mapInArrow(compare, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
