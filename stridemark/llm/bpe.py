@@ -92,7 +92,7 @@ class Encoder:
     runs of letters go to the library's model at once, past its slow splitting, see ``Letters``.
     """
 
-    MEMO = 200_000
+    MEMO = 130_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -171,6 +171,13 @@ def _jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_short_texts_are_not_taken_for_empty_ones(spark):
+    r = random.Random(12)
+    texts = ["", " "] + [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.choice([1, 5, 6, 6, 6, 8]))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(docs, ["doc_id", "text"]).collect()) == [0, *range(2, len(texts))]
+
+
 def test_recall_of_near_copies_by_likeness(spark):
     """Pairs of 300 words, one of them with single words changed: nearly all from 0.8 on are found, hardly one below 0.6, no stranger."""
     r = random.Random(9)
