@@ -186,10 +186,11 @@ class Smers:
 def smers(seqs: list[bytes], p: Params, long: np.ndarray | None = None) -> Smers | None:
     """None if there is no s-mer at all. ``long`` says which have 64 k-mers or more, if these are parts of longer ones."""
     lengths = np.array([len(x) for x in seqs], np.int64)
-    joined = np.frombuffer(b"".join(seqs), np.uint8)
+    joined = seqs[0] if len(seqs) == 1 else b"".join(seqs)
     if len(joined) < p.s:
         return None
-    codes = letter_codes(MULTIPLY_ORDER if p.hash == "multiply" else ROTATE_ORDER, p.hash == "multiply").take(joined)
+    table = letter_codes(MULTIPLY_ORDER if p.hash == "multiply" else ROTATE_ORDER, p.hash == "multiply")
+    codes = np.frombuffer(joined.translate(table.tobytes()), np.uint8)
     other = None
     if (odd := codes == OTHER).any():
         if p.ambiguous == "skip":
