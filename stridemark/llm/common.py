@@ -24,13 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: texts are long, and the JVM and Python both hold a batch for each task.
+BATCH = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by sys.path alone."""
+    """Let Python workers import this package when the driver found it by sys.path alone, and keep the session's Arrow batches small."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not (m := re.fullmatch(r"(\d+)b?", spark.conf.get(size, ""))) or not 0 < int(m[1]) <= BATCH:
+        spark.conf.set(size, str(BATCH))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ PRIOR, ERRORS = 0.1, 3.0
 DRIFT = -0.01
 #: Word scores that a task remembers; the memo starts anew beyond this.
 MEMO = 150_000
-#: Tasks that the bounded sample is counted in.
-TASKS = 12
+#: Tasks that the bounded sample is counted in: each holds the features of about a hundred documents.
+TASKS = 48
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
