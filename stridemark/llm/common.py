@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not (m := re.fullmatch(r"(\d+)b?", spark.conf.get(size, ""))) or not 0 < int(m[1]) <= BATCH:
+    if not (m := re.fullmatch(r"(\d+)b?", spark.conf.get(size))) or not 0 < int(m[1]) <= BATCH:
         spark.conf.set(size, str(BATCH))
 
 
