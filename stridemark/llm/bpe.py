@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, join_hot, map_rows, ship, split_hot, table
+from .common import NO_ID, cut, join_hot, map_rows, ship, split_hot, table, tidy
 
 #: Bytes of the rolling hash's window; a cut is made where its low bits are zero, about every 1 KB.
 WINDOW, MASK = 16, np.uint32(1023)
@@ -463,7 +463,7 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
         if held:
             yield packed(list(held))
 
-    packed = rows.select(rid.cast("binary").alias("rid"), "text").mapInArrow(pack, "task int, z binary")
+    packed = rows.select(rid.cast("binary").alias("rid"), "text").mapInArrow(tidy(pack), "task int, z binary")
 
     def of_owners(wanted: DataFrame, make: Callable[[], Callable[[list[tuple]], pa.RecordBatch | None]], shape: str) -> DataFrame:
         """What ``make`` returns for lists of (key, text, shared) of the rows of ``wanted``, once each."""
@@ -484,7 +484,7 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
                     if todo and (out := step(todo)) is not None:
                         yield out
 
-        return asked.unionByName(texts_).repartitionById(n, F.col("task")).sortWithinPartitions("task", "kind").mapInArrow(run, shape)
+        return asked.unionByName(texts_).repartitionById(n, F.col("task")).sortWithinPartitions("task", "kind").mapInArrow(tidy(run), shape)
 
     part = "array<struct<chunk: binary, ids: binary, from: int, to: int>>"
     fields = f"kind int, key binary, {shape}, ids_of binary, starts binary, counts binary, parts {part}"
@@ -557,7 +557,7 @@ def encode(df: DataFrame, path: str, real: bool = False) -> DataFrame:
             out.append((at, *(output.row() if right else [None] * 3)))
             yield rows_out()
 
-    late = cut(filled.mapInArrow(finish, f"key binary, {shape}"))
+    late = cut(filled.mapInArrow(tidy(finish), f"key binary, {shape}"))
     done = made.where("kind = 0").select("key", *names).unionByName(late.where("n_tokens is not null"))
     failed = late.where("n_tokens is null").select("key")
     if not failed.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch: texts are long, and the JVM and Python both hold a batch for each task.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,6 +67,20 @@ def join_hot(big: DataFrame, on: Callable[[], Column], hot: DataFrame, cold: Dat
     return big.join(F.broadcast(hot), on()).unionByName(big.join(F.broadcast(hot), on(), "left_anti").join(cold, on()))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, which gives what it freed back to the system at its end: Python workers outlive their tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
@@ -90,7 +105,7 @@ def map_rows(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def crc_mod(col: str, n: int):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, map_rows, table
+from .common import crc_mod, cut, map_rows, table, tidy
 
 #: Labelled documents of either label that the model is fitted on at most, about, and rows of one id.
 TRAIN_PER_LABEL, ROWS_PER_ID = 2500, 8
@@ -174,7 +174,7 @@ def fit(sample: DataFrame) -> Model:
                 some = names[at : at + 100_000]
                 yield pa.record_batch([pa.array(some), pa.array([totals[1][f] for f in some], pa.int64()), pa.array([totals[0][f] for f in some], pa.int64())], ["feature", "y1", "y0"])
 
-    counted = cut(marked.mapInArrow(count, "feature string, y1 long, y0 long").groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
+    counted = cut(marked.mapInArrow(tidy(count), "feature string, y1 long, y0 long").groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
     n1, n0 = (float(x or 0) for x in counted.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         return Model({})
@@ -228,8 +228,9 @@ def lexicon(counted: DataFrame, n1: float, n0: float) -> dict[str, tuple[float,
     above = [(f, x) for f, (x, _) in out.items() if x > 0 and f.endswith("*")]
     if not above:
         return out
-    # at most LEXICON beginnings
-    beginnings = F.broadcast(counted.sparkSession.createDataFrame(above, "beginning string, bound double"))
+    # at most LEXICON beginnings; as an Arrow table, since tuples would start Python workers of another kind that stay
+    bounds = pa.table({"beginning": pa.array([f for f, _ in above], pa.string()), "bound": pa.array([x for _, x in above], pa.float64())})
+    beginnings = F.broadcast(counted.sparkSession.createDataFrame(bounds))
     word = F.rtrim(F.col("feature"), F.lit("*"))
     starts = F.array(*[F.concat(F.substring(word, 1, n), F.lit("*")) for n in BEGINNINGS])
     lower = rated.where("shrunk = 0").select("feature", "odds", "y", F.explode(starts).alias("beginning")).where("feature <> beginning")

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stridemark.llm import bpe, components, fingerprints, forest, language, passages, pieces, secrets, simhash, toxicity
+from stridemark.llm import bpe, common, components, fingerprints, forest, language, passages, pieces, secrets, simhash, toxicity
 
 
 @settings(max_examples=200, deadline=None)
@@ -166,6 +167,28 @@ def test_large_groups_are_dealt_out_again(spark, monkeypatch):
         assert all((a ^ b).bit_count() <= 4 for a, b in got) and _groups(fp, got) == near
 
 
+def test_workers_give_memory_back(spark):
+    """What a task freed doesn't stay with its Python worker."""
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024  # noqa: E731, SIM115
+
+    def run(batches):
+        for batch in batches:
+            big = [pa.array(np.ones(1 << 20)) for _ in range(20)] + [bytes(100_000) for _ in range(1000)]
+            del big
+            yield batch
+
+    before = held()
+    assert list(common.tidy(run)([1, 2])) == [1, 2]
+    assert held() < before + 60
+    # the model's beginnings reach the JVM without Python workers of another kind
+    seen, create = [], type(spark).createDataFrame
+    counted = spark.createDataFrame([("slur", 50, 0), ("slu*", 60, 1), ("slug", 0, 9), *((f"w{i}", 5, 50) for i in range(40))], "feature string, y1 long, y0 long")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: seen.append(type(data)) or create(self, data, *a, **k))
+        words = toxicity.lexicon(counted, 600.0, 2100.0)
+    assert words["slu*"][0] > 0 and words["slug"][0] <= 0 and seen == [pa.Table]
+
+
 def _jaccard(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
     return len(a & b) / len(a | b)
