@@ -12,14 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, map_rows, ship, split_hot, table
+from .common import cut, join_hot, map_rows, ship, split_hot, table, tidy
 from .components import components
 
 SEED = 42
 #: Groups of one signature up to this size compare their pairs at once; larger ones walk from text to text.
 SMALL_GROUP = 48
-#: Rows of one signature that a task holds; the rest of such a group is dealt out again by finer signatures.
+#: Rows of one signature that a task holds. Larger groups are cut into parts, of which every two meet.
 LARGE_GROUP = 200_000
+#: Rows of such a part, about.
+PART = 50_000
+#: Rows whose bits are counted at once.
+SLICE = 8192
 
 
 @dataclass(frozen=True)
@@ -56,6 +60,8 @@ class Ring:
 
     def passes(self, diff: np.ndarray, start: int) -> np.ndarray:
         """Whether differences, turned so that the ring begins at ``start``, keep to the budget of every chain, then to the distance."""
+        if len(diff) > SLICE:
+            return np.concatenate([self.passes(diff[at : at + SLICE], start) for at in range(0, len(diff), SLICE)])
         ends = self.ends(start)
         allowed = [(i + 1) * self.budget // len(ends) for i in range(len(ends))]
         # one chain for all first: that of the first 64 bits, or of three boxes of one word
@@ -145,7 +151,10 @@ def turned(fp: np.ndarray, by: int) -> np.ndarray:
 
 
 def signatures(ring: Ring, fp: np.ndarray, low: np.ndarray | None = None, extra: int = 0, only: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, turned fingerprints): pairs that link share a key from some start. ``extra`` more boxes make finer signatures."""
+    """(keys, turned fingerprints): pairs that link share a key from some start.
+
+    ``extra`` boxes more make finer signatures, which miss no pair either if there are no probes.
+    """
     for n, start in enumerate(ring.starts):
         if only is not None and n != only:
             continue
@@ -186,26 +195,40 @@ def links_of(ring: Ring, keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray,
         a.append(j)
         b.append(j + d)
     for s, n in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
-        rest = s + np.unique(fp[s : s + n], axis=0, return_index=True)[1]
-        while len(rest) > 1:
-            walk, rest = [rest[0]], rest[1:]
-            while walk and len(rest):
-                at = walk.pop()
-                near = ring.passes(fp[rest] ^ fp[at], start)
-                if near.any():
-                    new = rest[near]
-                    a.append(np.full(len(new), at))
-                    b.append(new)
-                    walk += new.tolist()
-                    rest = rest[~near]
+        for at, new in walked(ring, fp, s + np.unique(fp[s : s + n], axis=0, return_index=True)[1], start):
+            a.append(np.full(len(new), at))
+            b.append(new)
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def walked(ring: Ring, fp: np.ndarray, rest: np.ndarray, start: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places it links to): a forest of the links among the places ``rest``; with sides, of those between unlike sides."""
+    while len(rest) > 1:
+        walk, rest = [rest[0]], rest[1:]
+        while walk and len(rest):
+            at = walk.pop()
+            near = ring.passes(fp[rest] ^ fp[at], start) if side is None else across(ring, fp, rest, at, start, side)
+            if near.any():
+                new = rest[near]
+                yield at, new
+                walk += new.tolist()
+                rest = rest[~near]
+
+
+def across(ring: Ring, fp: np.ndarray, rest: np.ndarray, at: int, start: int, side: np.ndarray) -> np.ndarray:
+    out = side[rest] != side[at]
+    out[out] = ring.passes(fp[rest[out]] ^ fp[at], start)
+    return out
+
+
 def links(classes: DataFrame, ring: Ring) -> DataFrame:
     """(u, v): links between distinct fingerprints of (fp, unsure), enough of them to connect what is linked.
 
-    Signatures that more than LARGE_GROUP rows share are dealt out again by finer ones.
+    A signature that more than LARGE_GROUP rows share links what it would link in one task: without
+    probes it is dealt out again by finer ones, which miss no pair, and what is too large still, or
+    has probes, is compared part by part. The work in such a group grows with the square of its
+    rows unless they link to each other.
     """
     ship(classes.sparkSession)
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -229,52 +252,52 @@ def links(classes: DataFrame, ring: Ring) -> DataFrame:
         return step
 
     def finer() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        """From rows (start, fp, unsure) of a large group."""
+        """From rows (start, fp) of a large group."""
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             start, fp = batch.column(0).to_numpy(), words(batch.column(1))
-            low = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, len(ring.starts), ring.probes) if ring.probes else None
-            parts = [x for s in np.unique(start).tolist() for x in signatures(ring, fp[start == s], None if low is None else low[start == s], 1 if ring.probes is None else 2, s)]
-            return rows_of(parts)
+            return rows_of([x for s in np.unique(start).tolist() for x in signatures(ring, fp[start == s], extra=1, only=s)])
 
         return step
 
-    def meeting(most: int | None):
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[np.ndarray] | None = None
-            overflowing = None
-            for batch in batches:
-                now = [batch.column(0).to_numpy().view(np.uint64), words(batch.column(1))]
-                if overflowing is not None:
-                    more = int(np.searchsorted(now[0].view(np.int64), overflowing.view(np.int64), "right"))
-                    if more:
-                        yield again(now[0][:more], now[1][:more])
-                    now = [x[more:] for x in now]
-                    if not len(now[0]):
-                        continue
-                    overflowing = None
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                done = int(np.searchsorted(held[0].view(np.int64), held[0][-1:].view(np.int64)[0], "left"))
-                if done >= 50_000:
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        overflowing = None
+        for batch in batches:
+            now = [batch.column(0).to_numpy().view(np.uint64), words(batch.column(1))]
+            if overflowing is not None:
+                more = int(np.searchsorted(now[0].view(np.int64), overflowing.view(np.int64), "right"))
+                if more:
+                    yield again(now[0][:more], now[1][:more])
+                now = [x[more:] for x in now]
+                if not len(now[0]):
+                    continue
+                overflowing = None
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            done = int(np.searchsorted(held[0].view(np.int64), held[0][-1:].view(np.int64)[0], "left"))
+            if done >= 50_000:
+                yield from edges(held[0][:done], held[1][:done])
+                held = [x[done:] for x in held]
+            if len(held[0]) - (done if done < 50_000 else 0) > most:
+                if done < 50_000:
                     yield from edges(held[0][:done], held[1][:done])
                     held = [x[done:] for x in held]
-                if most is not None and len(held[0]) - (done if done < 50_000 else 0) > most:
-                    if done < 50_000:
-                        yield from edges(held[0][:done], held[1][:done])
-                        held = [x[done:] for x in held]
-                    overflowing = held[0][0]
-                    yield again(*held)
-                    held = None
-            if held is not None:
-                yield from edges(*held)
-
-        return meet
+                overflowing = held[0][0]
+                yield again(*held)
+                held = None
+        if held is not None:
+            yield from edges(*held)
 
     def again(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        """Rows of a large group: what links the start to be dealt out again, and the fingerprint."""
-        start = int(keys[0] >> np.uint64(56))
-        u = [x.tobytes() for x in turned(fp, -ring.at(ring.starts[start]) % ring.bits).astype(">u8")]
-        return pa.record_batch([pa.array(u, pa.binary()), pa.array([None] * len(u), pa.binary()), pa.array([start] * len(u), pa.int32())], ["u", "v", "start"])
+        """Rows of a large group: the fingerprint and what they share."""
+        u = [x.tobytes() for x in turned(fp, -ring.at(ring.starts[int(keys[0] >> np.uint64(56))]) % ring.bits).astype(">u8")]
+        return pa.record_batch([pa.array(u, pa.binary()), pa.array([None] * len(u), pa.binary()), pa.array(keys.view(np.int64))], ["u", "v", "key"])
+
+    def pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, s: int) -> pa.RecordBatch:
+        back = -ring.at(ring.starts[s]) % ring.bits
+        both = np.unique(np.concatenate([turned(fp[x], back) for x in (a, b)], 1), axis=0).astype(">u8")
+        u, v = ([x.tobytes() for x in np.ascontiguousarray(both[:, i * ring.words : (i + 1) * ring.words])] for i in (0, 1))
+        return pa.record_batch([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array([None] * len(u), pa.int64())], ["u", "v", "key"])
 
     def edges(keys: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         which = keys >> np.uint64(56)
@@ -284,20 +307,53 @@ def links(classes: DataFrame, ring: Ring) -> DataFrame:
                 continue
             a, b = links_of(ring, keys[mine], fp[mine])
             if len(a):
-                back = -ring.at(ring.starts[s]) % ring.bits
-                pairs = np.unique(np.concatenate([turned(fp[mine[x]], back) for x in (a, b)], 1), axis=0).astype(">u8")
-                u, v = ([x.tobytes() for x in np.ascontiguousarray(pairs[:, i * ring.words : (i + 1) * ring.words])] for i in (0, 1))
-                yield pa.record_batch([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array([None] * len(u), pa.int32())], ["u", "v", "start"])
-
-    def dealt(keys: DataFrame, most: int | None) -> DataFrame:
-        return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meeting(most), "u binary, v binary, start int")
-
-    first = cut(dealt(map_rows(classes.select("fp", "unsure"), sign, "key long, fp binary", rows=2048), most))
-    found = first.where("v is not null").select("u", "v")
-    large = first.where("v is null").select("start", F.col("u").alias("fp")).distinct()
+                yield pairs(fp[mine], a, b, s)
+
+    def dealt(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (u, v), and rows (key, fp) of groups that are too large."""
+        met = cut(keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(meeting), "u binary, v binary, key long"))
+        return met.where("v is not null").select("u", "v"), met.where("v is null").select("key", F.col("u").alias("fp"))
+
+    def meet_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows (key, one part, other part, whether of the other, fp) in order, a pair of parts at a time."""
+
+        def forest(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+            s = int(cell.column(0)[0].as_py() >> 56)
+            fp = turned(words(cell.column(4).combine_chunks()), ring.at(ring.starts[s]))
+            side = cell.column(3).to_numpy() if cell.column(1)[0] != cell.column(2)[0] else None
+            found = list(walked(ring, fp, np.arange(len(fp)), ring.starts[s], side))
+            if found:
+                yield pairs(fp, np.concatenate([np.full(len(new), at) for at, new in found]), np.concatenate([new for _, new in found]), s)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cells = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            ends = [*(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
+            for at, end in zip([0, *ends], ends):
+                if end > at:
+                    some = batch.slice(at, end - at)
+                    if held and any(held[-1].column(i)[0] != some.column(i)[0] for i in range(3)):
+                        yield from forest(pa.Table.from_batches(held))
+                        held = []
+                    held.append(some)
+        if held:
+            yield from forest(pa.Table.from_batches(held))
+
+    def by_parts(large: DataFrame) -> DataFrame:
+        """Links in large groups, the same as if one task held them: each part meets itself and each other part of its group."""
+        counted = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for LARGE_GROUP rows at most
+        mine = large.join(F.broadcast(counted), "key").withColumn("mine", F.pmod(F.xxhash64("fp"), "parts"))
+        cells = mine.select("key", "mine", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("met"))
+        cells = cells.select("key", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("other"), (F.col("mine") > F.col("met")).cast("int").alias("side"), "fp")
+        return cells.repartition(n, "key", "one", "other").sortWithinPartitions("key", "one", "other").mapInArrow(tidy(meet_parts), "u binary, v binary, key long").select("u", "v")
+
+    found, large = dealt(map_rows(classes.select("fp", "unsure"), sign, "key long, fp binary", rows=2048))
+    if not large.isEmpty() and ring.probes is None:  # finer signatures miss no pair here; with probes they would
+        starts = large.select(F.shiftright("key", 56).cast("int").alias("start"), "fp").distinct()
+        more, large = dealt(map_rows(starts, finer, "key long, fp binary", rows=2048))
+        found = found.unionByName(more)
     if not large.isEmpty():
-        large = large.join(classes.select("fp", "unsure"), "fp").select("start", "fp", "unsure")
-        found = found.unionByName(dealt(map_rows(large, finer, "key long, fp binary", rows=2048), None).select("u", "v"))
+        found = found.unionByName(by_parts(large))
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

@@ -189,6 +189,33 @@ def test_workers_give_memory_back(spark):
     assert words["slu*"][0] > 0 and words["slug"][0] <= 0 and seen == [pa.Table]
 
 
+def test_size_of_a_group_changes_no_result(spark, monkeypatch):
+    """The links of 256 bits, which aren't all that there are, connect the same if most groups are too large to be held."""
+    r = random.Random(6)
+    flipped = lambda c, n: c ^ sum(1 << b for b in r.sample(range(256), n))
+    fp = sorted({flipped(c, r.randint(26, 32)) for c in [r.getrandbits(256) for _ in range(4)] for _ in range(80)})
+    low = lambda: b"".join(bytes(r.sample(range(20), 2)) for _ in simhash.NEAR.starts)
+    df = spark.createDataFrame([(x.to_bytes(32, "big"), low()) for x in fp], "fp binary, unsure binary").repartition(3)
+
+    def found():
+        got = [(int.from_bytes(x["u"], "big"), int.from_bytes(x["v"], "big")) for x in simhash.links(df, simhash.NEAR).collect()]
+        assert all(0 < (a ^ b).bit_count() <= 46 for a, b in got)
+        return _groups(fp, got)
+
+    whole = found()
+    assert 4 < len(whole) < len(fp) - 50
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")  # groups grow row by row
+    try:
+        for most, part in ((1, 2), (2, 3), (1, 50_000)):
+            monkeypatch.setattr(simhash, "LARGE_GROUP", most)
+            monkeypatch.setattr(simhash, "PART", part)
+            assert found() == whole
+    finally:
+        spark.conf.set(size, before)
+
+
 def _jaccard(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
     return len(a & b) / len(a | b)
