@@ -58,16 +58,20 @@ class Ring:
         """Ends of the chains of 1, 2, ... boxes from a start."""
         return list(accumulate(self.sizes[start:] + self.sizes[:start]))
 
+    def first(self, start: int) -> tuple[np.uint64, int]:
+        """Mask of one chain's bits in the first word, and how many may differ: that of 64 bits, or of three boxes of one word."""
+        ends = self.ends(start)
+        i = max(i for i, e in enumerate(ends) if e <= (64 if self.words > 1 else ends[2]))
+        return np.uint64((1 << ends[i]) - 1), (i + 1) * self.budget // len(ends)
+
     def passes(self, diff: np.ndarray, start: int) -> np.ndarray:
         """Whether differences, turned so that the ring begins at ``start``, keep to the budget of every chain, then to the distance."""
         if len(diff) > SLICE:
             return np.concatenate([self.passes(diff[at : at + SLICE], start) for at in range(0, len(diff), SLICE)])
         ends = self.ends(start)
         allowed = [(i + 1) * self.budget // len(ends) for i in range(len(ends))]
-        # one chain for all first: that of the first 64 bits, or of three boxes of one word
-        i = max(i for i, e in enumerate(ends) if e <= (64 if self.words > 1 else ends[2]))
-        first = np.uint64((1 << ends[i]) - 1)
-        some = np.flatnonzero(np.bitwise_count(diff[:, 0] & first) <= allowed[i])
+        mask, most = self.first(start)  # one chain for all first
+        some = np.flatnonzero(np.bitwise_count(diff[:, 0] & mask) <= most)
         sums = np.cumsum(np.unpackbits(np.ascontiguousarray(diff[some]).astype("<u8").view(np.uint8).reshape(len(some), self.bits // 8), axis=1, bitorder="little"), axis=1, dtype=np.int16)
         ok = (sums[:, np.array(ends) - 1] <= np.array(allowed)).all(1) & (sums[:, -1] <= self.distance)
         out = np.zeros(len(diff), bool)
@@ -204,22 +208,21 @@ def links_of(ring: Ring, keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray,
 
 def walked(ring: Ring, fp: np.ndarray, rest: np.ndarray, start: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(place, places it links to): a forest of the links among the places ``rest``; with sides, of those between unlike sides."""
+    mask, most = ring.first(start)
+    heads = fp[rest, 0] & mask
     while len(rest) > 1:
-        walk, rest = [rest[0]], rest[1:]
+        walk, rest, heads = [rest[0]], rest[1:], heads[1:]
         while walk and len(rest):
             at = walk.pop()
-            near = ring.passes(fp[rest] ^ fp[at], start) if side is None else across(ring, fp, rest, at, start, side)
-            if near.any():
+            near = np.flatnonzero(np.bitwise_count(heads ^ (fp[at, 0] & mask)) <= most)
+            if side is not None:
+                near = near[side[rest[near]] != side[at]]
+            near = near[ring.passes(fp[rest[near]] ^ fp[at], start)]
+            if len(near):
                 new = rest[near]
                 yield at, new
                 walk += new.tolist()
-                rest = rest[~near]
-
-
-def across(ring: Ring, fp: np.ndarray, rest: np.ndarray, at: int, start: int, side: np.ndarray) -> np.ndarray:
-    out = side[rest] != side[at]
-    out[out] = ring.passes(fp[rest[out]] ^ fp[at], start)
-    return out
+                rest, heads = np.delete(rest, near), np.delete(heads, near)
 
 
 def links(classes: DataFrame, ring: Ring) -> DataFrame:
